@@ -1,27 +1,68 @@
-"""documents -> clean packed sequences, in five stages; each is written as Parquet and reread as the next one's input."""
+"""documents -> clean packed sequences, in five stages; each is written as Parquet and reread as the next one's input.
+
+Every stage but the last returns the columns of documents. A stage judges what its predecessor kept; where it learns
+(the toxicity model) it learns from its own input and the labels.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweave.llm.common import DOCUMENT_COLUMNS, materialize, table
+from chronoweave.llm.decontaminate import contamination
 from chronoweave.llm.minhash import near_duplicates
+from chronoweave.llm.packing import pack_documents
+from chronoweave.llm.pii import pseudonymize
+from chronoweave.llm.toxicity import score_toxicity
+
+#: Ids of 8 bytes that may be sent to every executor; with more, a decision is joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """docs but for those whose doc_id is in ids. Rows without a doc_id stay."""
+    ids = materialize(ids.where("doc_id is not null").select("doc_id").distinct(), tag)
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1"), "toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*DOCUMENT_COLUMNS)
+    return _without(docs, near_duplicates(docs).where("not kept"), "copies")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "leaks")
+
+
+def pseudonymize_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts become pseudonyms; n_chars follows the text."""
+    out = pseudonymize(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids: one row for each piece of a document."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("pii", pseudonymize_pii), ("packing", pack)]
 
-#: The stages' decisions (a learned lexicon, MinHash, tokenizer ids) are beyond SQL; tests/llm checks them by brute force.
+#: The stages' decisions (a learned lexicon, MinHash, keyed permutations, tokenizer ids) are beyond SQL; tests/llm checks them by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
