@@ -6,9 +6,10 @@ read as itself, as the letters it stands for in leetspeak, or as nothing (a repe
 The Viterbi path of lowest cost under the model is the restored word. Words as written and words restored are then
 looked up in a table of weights.
 
-The weights are the log odds of words, learned from labelled rows outside the held-out third; of a text that stands
-there several times, one row counts. At most ``sample`` labelled rows are used (drawn by hash of the doc_id), and at most
-``LEXICON`` words kept. Only words that speak for toxicity have a weight, so length alone moves no score.
+The weights are the log odds of words, learned from labelled rows outside the held-out third; of a family of copies
+(texts with one smallest three-word shingle hash), the row with the smallest doc_id counts. At most ``sample`` labelled rows are used (drawn by hash of the doc_id), and at most
+``LEXICON`` words kept. Only words whose odds speak for toxicity beyond doubt (a 95 % bound) have a
+weight, so length alone moves no score.
 
 Null and empty texts get the prior's score. doc_ids without a label are scored like all others. Repeated rows give
 repeated results; other columns are ignored. With no label at all, every score is the prior of 0.1.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, raw_texts, small_batches
 
-SAMPLE, LEXICON, THRESHOLD, PRIOR, CACHE = 20_000, 5000, 0.7, 0.1, 200_000
+SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 5000, 0.7, 0.1, 2.2, 200_000
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-DROP = "*._-~'^`·"
+MASKED = {"*": "aeiou"}
+DROP = " ._-~'^`·"
+#: Costs of reading a character as nothing: one of a long run of equal letters, a separator, any other.
+REPEATED, SEPARATED, REMOVED = 2.0, 0.4, 9.0
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)} | {c: 27 + i for i, c in enumerate("àáâäçèéêëíîïñóôöùúûüß")}
 N = 27 + 21
@@ -97,11 +102,15 @@ class Decoder:
         """For each character what it may be read as, and at what cost; "" is nothing."""
         out = []
         for i, c in enumerate(token):
+            run = len(token[:i]) - len(token[:i].rstrip(c))
+            after = len(token[i:]) - len(token[i:].lstrip(c))
             if c in _CODE:
-                again = i > 0 and token[i - 1] == c
-                out.append([(c, 0.0 if not again else 2.0), *([("", 0.3)] if again else [])])
+                long = run + after >= 3
+                out.append([*([(c, 0.0)] if run < 2 or not long else []), *([("", REPEATED)] if run and long else [])])
+            elif c in LEET:
+                out.append([*((x, 0.5) for x in LEET[c]), ("", REMOVED)])
             else:
-                out.append([*((x, 0.5) for x in LEET.get(c, "")), ("", 0.4 if c in DROP or c == " " else 3.0)])
+                out.append([*((x, 1.0) for x in MASKED.get(c, "")), ("", SEPARATED if c in DROP else REMOVED)])
         return out
 
     def __call__(self, token: str) -> str:
@@ -154,6 +163,16 @@ def words_of(text: str | None, decode: Decoder) -> set[str]:
     return found
 
 
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each labelled row with the smallest hash of its three-word shingles, which copies mostly share."""
+    for batch in batches:
+        own = []
+        for text in raw_texts(batch.column(1)):
+            w = (text or b"").lower().split()
+            own.append(min(zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], ["doc_id", "text", "toxic", "family"])
+
+
 def _train(decode: Decoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -191,15 +210,17 @@ def learn(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
     part = min(1.0, sample / max(1, n))
     drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is bounded by ``sample`` ids, so it may be sent to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_families, "doc_id long, text string, toxic int, family long")
+    rows = rows.groupBy("family").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
     counts = rows.select("text", "toxic").mapInArrow(_train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     whole = counts.where("word is null").first()
     nt, nc = (whole["toxic"] or 0, whole["clean"] or 0) if whole else (0, 0)
     if not nt or not nc:
         return {}, math.log(PRIOR / (1 - PRIOR))
     weight = F.log((F.col("toxic") + 0.5) / (nt + 1)) - F.log((F.col("clean") + 0.5) / (nc + 1))
-    least = max(2, round(0.002 * nt))
-    strong = counts.where(F.col("word").isNotNull() & (F.col("toxic") >= least)).select("word", "toxic", weight.alias("w")).where("w >= 2.5")
+    doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    sure = F.col("word").isNotNull() & (F.col("toxic") >= max(3, round(0.002 * nt))) & (weight - 1.64 * doubt >= SURE)
+    strong = counts.where(sure).select("word", "toxic", weight.alias("w"))
     best = strong.orderBy(F.desc(F.col("toxic") * F.col("w")), "word").limit(LEXICON).collect()
     return {r["word"]: r["w"] for r in best}, math.log(nt / nc)
 
