@@ -1 +1 @@
-
+"""Column functions: clocks, fields, time."""

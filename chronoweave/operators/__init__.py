@@ -1 +1 @@
-
+"""Operators on message tables: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-
+"""Sources of message tables."""
