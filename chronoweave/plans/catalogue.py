@@ -115,7 +115,7 @@ def _trim_sql(b: int | None, e: int | None) -> str:
     return f"""WITH {MSG}, s AS (SELECT min(pos) sp FROM m WHERE {lo} IS NULL OR ts_ns >= {lo}),
 sk AS (SELECT m.* FROM m, s WHERE {lo} IS NOT NULL AND (sp IS NULL OR pos < sp)),
 al AS (SELECT stream_id, sum(CASE msg_type WHEN 'PB' THEN 1 WHEN 'PE' THEN -1 ELSE 0 END) op, max_by(day, pos) FILTER (msg_type = 'PB') AS day FROM sk GROUP BY stream_id HAVING count(*) FILTER (msg_type = 'SB') > 0 AND count(*) FILTER (msg_type = 'SE') = 0),
-fr AS (SELECT stream_id, 'SB' msg_type, CAST({lo} AS BIGINT) ts_ns, NULL event_type, NULL::BIGINT day, 0 k FROM al UNION ALL SELECT stream_id, 'PB', {lo}, NULL, day, 1 FROM al WHERE op > 0),
+fr AS (SELECT stream_id, 'SB' msg_type, CAST({lo} AS BIGINT) ts_ns, NULL event_type, CAST(NULL AS BIGINT) AS day, 0 k FROM al UNION ALL SELECT stream_id, 'PB', {lo}, NULL, day, 1 FROM al WHERE op > 0),
 r AS (SELECT *, row_number() OVER (ORDER BY stream_id, k) pos FROM fr),
 n AS (SELECT stream_id, msg_type, ts_ns, event_type, day, pos FROM r UNION ALL SELECT stream_id, msg_type, ts_ns, event_type, day, pos - sp + 1 + (SELECT count(*) FROM r) FROM m, s WHERE pos >= sp),
 c AS (SELECT min(pos) cp FROM n WHERE {hi} IS NOT NULL AND ts_ns > {hi}),
