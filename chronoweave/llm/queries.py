@@ -7,6 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .chat import op6_chat_format
 from .decontaminate import op7_decontamination
 from .licenses import op4_license_scan
@@ -26,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op3 alone: what the others decide comes from learned rules, samples, tokenizers, keyed permutations or fuzzy matching, and is tested by brute force."""
+    return {"op3_minhash_dedup": sql.OP3}
