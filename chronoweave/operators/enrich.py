@@ -17,18 +17,28 @@ BUILD_IDS = ("lttng_ust_statedump:build_id", "lttng_ust_lib:build_id")
 DEBUG_LINKS = ("lttng_ust_statedump:debug_link", "lttng_ust_lib:debug_link")
 
 
-def as_of(events: DataFrame, states: DataFrame, by: list[str], order: str, values: list[str], strict: bool = False) -> DataFrame:
+def as_of(events: DataFrame, states: DataFrame, by: list[str], order: str, values: list[str], strict: bool = False, bucket: int | None = None) -> DataFrame:
     """Each event with the values of the latest state of its key at or before it (strictly before, if strict).
 
-    One sort of both tables instead of a join; a hot key should be split by a time bucket in ``by``, with its state carried.
+    One sort of both tables instead of a join. With ``bucket`` (a width of ``order``), a key's rows are dealt out by buckets,
+    so that a hot key isn't one task, and the last state of earlier buckets is carried into each.
     """
     late = 1 if strict else 0
     keep = [c for c in events.columns if c not in (*by, order, *values)]
     e = events.select(*by, order, F.struct(*(keep or [F.lit(1).alias("_")])).alias("_e"), F.lit(1 - late).alias("_k"))
     s = states.select(*by, order, F.struct(*values).alias("_s"), F.lit(late).alias("_k"))
     both = e.unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(order, "_k").rowsBetween(Window.unboundedPreceding, 0)
+    if bucket:
+        both = both.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("long"))
+    else:
+        both = both.withColumn("_b", F.lit(0).cast("long"))
+    w = Window.partitionBy(*by, "_b").orderBy(order, "_k").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_e is not null")
+    if bucket:
+        ends = both.groupBy(*by, "_b").agg(F.max_by("_s", F.when(F.col("_s").isNotNull(), F.struct(order, "_k"))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_c"))
+        out = out.join(carried, [*by, "_b"], "left").withColumn("_s", F.coalesce("_s", "_c"))
     return out.select(*by, order, *(F.col(f"_e.{c}").alias(c) for c in keep), *(F.col(f"_s.{v}").alias(v) for v in values))
 
 
@@ -51,6 +61,25 @@ def lifetimes(changes: DataFrame, order: str = "pos") -> DataFrame:
     return out.select("trace_name", "vpid", F.col("baddr").alias("lo"), (F.col("baddr") + F.col("memsz")).alias("hi"), "path", "is_pic", F.col(order).alias("valid_from"), F.least("_gone", "_cleared").alias("valid_to"))
 
 
+def with_identifiers(mappings: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """mappings with the build ID and debug link that events attached to their base: the last of each while they were loaded.
+
+    identifiers: (trace_name, vpid, order, baddr, build_id, debug_link, debug_crc), null what an event doesn't tell.
+    """
+    ids = identifiers.select(F.col("trace_name").alias("_t"), F.col("vpid").alias("_v"), F.col("baddr").alias("_a"), F.col("pos").alias("_p"), "build_id", "debug_link", "debug_crc")
+    on = mappings["trace_name"].eqNullSafe(F.col("_t")) & (mappings["vpid"] == F.col("_v")) & (mappings["lo"] == F.col("_a")) & (F.col("_p") >= mappings["valid_from"]) & (mappings["valid_to"].isNull() | (F.col("_p") < mappings["valid_to"]))
+    own = [mappings[c] for c in mappings.columns]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_p"))).alias(c)
+    return mappings.join(ids, on, "left").groupBy(*own).agg(last("build_id"), last("debug_link"), last("debug_crc"))
+
+
+def identifiers_of(df: DataFrame) -> DataFrame:
+    """The build-ID and debug-link events of a merged message table."""
+    js = lambda s, k, t: F.get_json_object(F.col(s), f"$.{k}").cast(t)
+    rows = df.where((F.col("msg_type") == "EV") & F.col("event_class_name").isin(*BUILD_IDS, *DEBUG_LINKS))
+    return rows.select("trace_name", js("common_context", "vpid", "long").alias("vpid"), "pos", js("payload", "baddr", "long").alias("baddr"), js("payload", "build_id", "string").alias("build_id"), js("payload", "filename", "string").alias("debug_link"), js("payload", "crc", "long").alias("debug_crc"))
+
+
 def binary_text(path: Column, ip: Column, lo: Column, is_pic: Column, full_path: bool = False) -> Column:
     """``name+0xoffset`` for position-independent code, otherwise ``name@0xaddress``."""
     name = path if full_path else F.substring_index(path, "/", -1)

@@ -326,7 +326,7 @@ SELECT p.event_id, s.value AS signup_value FROM p ASOF LEFT JOIN s ON p.user_id
 def asof_state(spark, sf_dir):
     rows = tables.event_rows(spark, sf_dir).select("event_id", "user_id", "ts_ns", "event_class_name", "value")
     signups = rows.where("event_class_name = 'signup'").select("user_id", "ts_ns", F.col("value").alias("signup_value"))
-    return enrich.as_of(rows.where("event_class_name = 'purchase'").select("event_id", "user_id", "ts_ns"), signups, ["user_id"], "ts_ns", ["signup_value"]).select("event_id", "signup_value")
+    return enrich.as_of(rows.where("event_class_name = 'purchase'").select("event_id", "user_id", "ts_ns"), signups, ["user_id"], "ts_ns", ["signup_value"], bucket=tables.DAY_NS).select("event_id", "signup_value")
 
 
 @query(

@@ -232,14 +232,39 @@ class Graph:
         """What a source or a filter gives."""
         return self._frame(name)
 
-    def run(self) -> dict[str, Any]:
-        """Runs all sinks; returns what each gives."""
+    def run(self, tag: str | None = None) -> dict[str, Any]:
+        """Runs all sinks; returns what each gives. Its jobs carry the tag, by which ``interrupt`` stops them."""
+        if tag:
+            self.spark.addTag(tag)
         sinks = [n for n, (c, _) in self.components.items() if c.kind == "sink"]
         if not sinks:
             raise GraphError("no sink")
         return {n: self._frame(n) for n in sinks}
 
 
+def interrupt(spark: SparkSession, tag: str) -> None:
+    """Stops the jobs of graphs that run under a tag."""
+    spark.interruptTag(tag)
+
+
+def load_plugins(folders: list[str]) -> list[str]:
+    """Imports the Python files named ``chronoweave_plugin_*.py`` in folders and below; each registers its component classes."""
+    import importlib.util
+
+    loaded = []
+    for folder in folders:
+        for at, _, names in sorted(os.walk(folder)):
+            for name in sorted(fnmatch.filter(names, "chronoweave_plugin_*.py")):
+                spec = importlib.util.spec_from_file_location(name[:-3], os.path.join(at, name))
+                module = importlib.util.module_from_spec(spec)
+                try:
+                    spec.loader.exec_module(module)
+                except Exception as e:
+                    raise GraphError(f"plugin {os.path.join(at, name)!r} can't be loaded") from e
+                loaded.append(name[:-3])
+    return loaded
+
+
 def run_query(spark: SparkSession, kind: str, cls: str, name: str, params: dict | None = None) -> Any:
     """Asks a component class; no graph is run."""
     own = find(kind, cls)

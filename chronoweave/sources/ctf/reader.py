@@ -7,6 +7,7 @@ of narrow counters follow from those before.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,10 @@ from . import decode
 from .tsdl import Clock, Trace, parse_metadata
 
 
+#: Fixed value: what an index file begins with.
+INDEX_MAGIC = 0xC1F1DCC1
+
+
 def load_metadata(spark: SparkSession, path: str) -> Trace:
     row = spark.read.format("binaryFile").load(f"{path}/metadata").select("content").first()
     return parse_metadata(bytes(row["content"]))
@@ -56,6 +61,32 @@ def packet_index(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, _INDEX)
 
 
+class PacketIndexError(ValueError):
+    """A packet index that contradicts itself or its data stream."""
+
+
+def parse_index(data: bytes, stream_bytes: int | None = None) -> list[dict]:
+    """Entries of a packet index file (version 1): offsets, sizes in bits and times of packets, all checked."""
+    head = struct.Struct(">IIII")
+    if len(data) < head.size:
+        raise PacketIndexError("no header")
+    magic, major, minor, length = head.unpack_from(data)
+    if magic != INDEX_MAGIC or major != 1 or length < 56:
+        raise PacketIndexError(f"magic {magic:#x}, version {major}.{minor}, entries of {length} bytes")
+    if (len(data) - head.size) % length:
+        raise PacketIndexError("torn entry")
+    out: list[dict] = []
+    for at in range(head.size, len(data), length):
+        offset, size, content, begin, end, lost, stream = struct.unpack_from(">QQQQQQQ", data, at)
+        own, seq = struct.unpack_from(">QQ", data, at + 56) if minor >= 1 and length >= 72 else (None, None)
+        if out and offset <= out[-1]["offset"] or begin > end or size % 8 or content > size:
+            raise PacketIndexError(f"entry {len(out)}")
+        out.append({"offset": offset, "packet_size": size, "content_size": content, "ts_begin": begin, "ts_end": end, "events_discarded": lost, "stream_class_id": stream, "stream_id": own, "packet_seq_num": seq})
+    if stream_bytes is not None and sum(e["packet_size"] for e in out) // 8 != stream_bytes:
+        raise PacketIndexError("sizes don't add up to the data stream")
+    return out
+
+
 def to_ns(cycles: int | None, clock: Clock | None, shift_ns: int = 0) -> int | None:
     if cycles is None or clock is None:
         return None

@@ -17,7 +17,7 @@ from chronoweave.sinks import count, details, pretty
 from chronoweave.sinks.ctf_writer import unwritable_losses, write_ctf
 from chronoweave.sources import textlog
 from chronoweave.sources.ctf import decode, tsdl
-from chronoweave.sources.ctf.reader import packet_index, read_ctf, trace_infos
+from chronoweave.sources.ctf.reader import PacketIndexError, packet_index, parse_index, read_ctf, trace_infos
 from chronoweave.streaming import live
 
 
@@ -230,3 +230,56 @@ def test_streaming(spark, tmp_path):
 def test_correlation(spark):
     rows = [Row(has_clock=True, unix_origin=False, clock_uuid="a", clock_id=1), Row(has_clock=True, unix_origin=False, clock_uuid="b", clock_id=2)]
     assert clock.correlation(spark.createDataFrame(rows)).first().error == "UUIDs differ"
+
+
+def test_packet_index_files():
+    head = lambda minor, size: struct.pack(">IIII", 0xC1F1DCC1, 1, minor, size)
+    entry = lambda o, b, e: struct.pack(">QQQQQQQQQ", o, 80, 72, b, e, 1, 0, 5, o)
+    got = parse_index(head(1, 72) + entry(0, 1, 2) + entry(10, 3, 4), 20)
+    assert [(x["offset"], x["stream_id"], x["packet_seq_num"]) for x in got] == [(0, 5, 0), (10, 5, 10)]
+    for bad in (b"", head(1, 72)[:-1] + b"\0", head(1, 72) + entry(0, 2, 1), head(1, 72) + entry(5, 1, 2) + entry(5, 3, 4), head(1, 72) + entry(0, 1, 2)[:-3]):
+        with pytest.raises(PacketIndexError):
+            parse_index(bad)
+    with pytest.raises(PacketIndexError):
+        parse_index(head(1, 72) + entry(0, 1, 2), 11)
+
+
+def test_as_of_buckets(spark):
+    ev = spark.createDataFrame([(k, t) for k in (1, 2) for t in range(0, 100, 3)], "k int, t long")
+    st = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (1, 40, "c"), (2, 99, "d")], "k int, t long, v string")
+    for strict in (False, True):
+        plain, dealt = (sorted(map(tuple, enrich.as_of(ev, st, ["k"], "t", ["v"], strict, bucket=b).collect()), key=str) for b in (None, 10))
+        assert plain == dealt and len(plain) == 68
+        assert (2, 99, None if strict else "d") in plain
+
+
+def test_identifiers(spark):
+    maps = spark.createDataFrame([("t", 1, 100, 150, "a", True, 1, 9)], "trace_name string, vpid int, lo long, hi long, path string, is_pic boolean, valid_from long, valid_to long")
+    ids = spark.createDataFrame([("t", 1, 2, 100, "b1", None, None), ("t", 1, 3, 100, None, "l", 7), ("t", 1, 4, 100, "b2", None, None), ("t", 1, 9, 100, "late", None, None)], "trace_name string, vpid int, pos long, baddr long, build_id string, debug_link string, debug_crc long")
+    r = enrich.with_identifiers(maps, ids).first()
+    assert (r.build_id, r.debug_link, r.debug_crc) == ("b2", "l", 7)
+
+
+def test_plugins_and_command_line(spark, tmp_path, capsys):
+    from chronoweave.__main__ import main
+
+    (tmp_path / "chronoweave_plugin_x.py").write_text("from chronoweave.plans.graph import component\n\n@component('sink', 'test.x')\ndef x(df, p):\n    'Says x.'\n    return 'x'\n")
+    assert main(["--plugin-path", str(tmp_path), "list"]) == 0 and "sink.test.x: Says x." in capsys.readouterr().out
+    log = tmp_path / "log"
+    log.write_text("[1.000001] a\n[2.000002] b\n")
+    run = ["run", "--component", f'in:source.text.dmesg:path="{log}"', "--component", "m:filter.utils.muxer", "--component", "out:sink.utils.counter:hide-zero=yes", "--connect", "in:m", "--connect", "m:out"]
+    assert main(run) == 0 and "2 Event messages" in capsys.readouterr().out
+    assert main(["query", "source.ctf.fs", "none"]) == 1 and "GraphError" in capsys.readouterr().err
+
+
+def test_stateful_losses(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "stream_id long, packet_ord long, ts_begin long, ts_end long, packet_seq_num long, events_discarded long"
+    src = tmp_path / "in"
+    for part in ([(1, 0, 0, 9, 4, 0), (1, 1, 10, 19, 5, 2)], [(1, 2, 20, 29, 8, 2)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    q = live.streaming_losses(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))).writeStream.outputMode("append").format("memory").queryName("cw_losses").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.packet_ord, r.msg_type): (r.begin_ns, r.end_ns, r.disc_count) for r in spark.table("cw_losses").collect()}
+    assert got == {(1, "DE"): (9, 19, 2), (2, "DP"): (19, 20, 2)}
