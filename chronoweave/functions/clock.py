@@ -29,7 +29,9 @@ def ns_to_cycles(ns: Column, frequency=NS, offset_s=0, offset_cycles=0) -> Colum
     """The inverse, in integers, truncated; null before the clock's offset."""
     f = _c(frequency).cast("decimal(38,0)")
     past = ns.cast("decimal(38,0)") - _c(offset_s).cast("decimal(38,0)") * NS
-    cycles = F.floor(past * f / F.lit(NS).cast("decimal(38,0)")).cast("decimal(38,0)") - _c(offset_cycles).cast("decimal(38,0)")
+    product = (past * f).cast("decimal(38,0)")
+    over = F.lit(NS).cast("decimal(38,0)")
+    cycles = ((product - F.pmod(product, over)) / over).cast("decimal(38,0)") - _c(offset_cycles).cast("decimal(38,0)")
     return F.when((past >= 0) & (cycles >= 0), cycles).try_cast("decimal(20,0)")
 
 

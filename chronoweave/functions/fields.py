@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def whole(x: Column, n: int) -> Column:
+    """x over a positive n, rounded to minus infinity, exact for all longs (``/`` goes through doubles or rounds decimals)."""
+    return F.call_function("div", x.cast("long") - F.pmod(x.cast("long"), F.lit(n).cast("long")), F.lit(n).cast("long"))
+
+
 def floor_div(a: Column, b: Column) -> Column:
-    """Integer division rounded to minus infinity; null by zero."""
-    q = F.try_divide(a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
-    return F.floor(q).cast("long")
+    """Integer division rounded to minus infinity, exact; null by zero."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return F.try_divide(wide(a) - wide(floor_mod(a, b)), wide(b)).cast("long")
 
 
 def floor_mod(a: Column, b: Column) -> Column:
@@ -31,7 +36,7 @@ def label_join(df: DataFrame, value: str, mappings: DataFrame, width: int) -> Da
     mappings: (label, lo, hi), closed ranges. Each range is posted once for every bucket that it touches, so the join is on
     equality of buckets and refined inside.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    bucket = lambda c: whole(F.col(c), width)
     posted = mappings.withColumn("_b", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
     return df.withColumn("_b", bucket(value)).join(posted, "_b").where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))).drop("_b", "lo", "hi")
 

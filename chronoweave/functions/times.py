@@ -10,13 +10,15 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fields import whole
+
 NS = 1_000_000_000
 
 
 def _parts(ns: Column) -> tuple[Column, Column]:
     """Whole seconds (floored) and the rest."""
-    s = F.floor(ns.cast("decimal(38,0)") / F.lit(NS)).cast("long")
-    return s, (ns.cast("decimal(38,0)") - s.cast("decimal(38,0)") * NS).cast("long")
+    s = whole(ns, NS)
+    return s, ns.cast("long") - s * NS
 
 
 def nine(ns: Column) -> Column:
@@ -26,9 +28,8 @@ def nine(ns: Column) -> Column:
 def clock_text(ns: Column, date: bool = False, seconds: bool = False) -> Column:
     """``HH:MM:SS.nnnnnnnnn`` in UTC, or with the date, or as seconds; question marks if unknown. Negative times in seconds."""
     s, rest = _parts(ns)
-    size = F.abs(ns.cast("decimal(38,0)"))
-    whole = F.floor(size / F.lit(NS)).cast("long")
-    plain = F.concat(F.when(ns < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), nine((size - whole.cast("decimal(38,0)") * NS).cast("long")))
+    up, left = _parts(F.abs(ns.cast("long")))
+    plain = F.concat(F.when(ns < 0, "-").otherwise(""), up.cast("string"), F.lit("."), nine(left))
     if seconds:
         return F.coalesce(plain, F.lit("??????????.?????????"))
     day = F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd HH:mm:ss" if date else "HH:mm:ss")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import whole
+
 #: The names of events that change a process's mappings.
 LOADS = ("lttng_ust_statedump:bin_info", "lttng_ust_dl:dlopen", "lttng_ust_lib:load")
 UNLOADS = ("lttng_ust_dl:dlclose", "lttng_ust_lib:unload")
@@ -29,7 +31,7 @@ def as_of(events: DataFrame, states: DataFrame, by: list[str], order: str, value
     s = states.select(*by, order, F.struct(*values).alias("_s"), F.lit(late).alias("_k"))
     both = e.unionByName(s, allowMissingColumns=True)
     if bucket:
-        both = both.withColumn("_b", F.floor(F.col(order) / F.lit(bucket)).cast("long"))
+        both = both.withColumn("_b", whole(F.col(order), bucket))
     else:
         both = both.withColumn("_b", F.lit(0).cast("long"))
     w = Window.partitionBy(*by, "_b").orderBy(order, "_k").rowsBetween(Window.unboundedPreceding, 0)
@@ -94,7 +96,7 @@ def debug_info(events: DataFrame, mappings: DataFrame, order: str = "pos", bucke
     joined on equality of the bucket, then refined. symbols: (path, addr, func, src), of which the nearest at or below the
     offset (the address, without position independence) is taken.
     """
-    floor = lambda c: F.floor(c / F.lit(bucket)).cast("long")
+    floor = lambda c: whole(c, bucket)
     posted = mappings.withColumn("_b", F.explode(F.sequence(floor(F.col("lo")), floor(F.col("hi") - 1))))
     keyed = events.withColumn("_b", floor(F.col("ip")))
     m = {c: f"_m_{c}" for c in mappings.columns}
@@ -131,6 +133,6 @@ def with_debug_info(df: DataFrame, symbols: DataFrame | None = None, field: str
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], at: str, begin: str, end: str, width: int) -> DataFrame:
     """left rows with each right row of the same key whose [begin, end] holds left's ``at``; bucketed by ``width``."""
-    floor = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    floor = lambda c: whole(F.col(c), width)
     posted = right.withColumn("_b", F.explode(F.sequence(floor(begin), floor(end))))
     return left.withColumn("_b", floor(at)).join(posted, [*by, "_b"]).where(F.col(at).between(F.col(begin), F.col(end))).drop("_b")

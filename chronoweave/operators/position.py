@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import whole
+
 BUCKETS = 256
 
 
@@ -35,7 +37,7 @@ class Buckets:
 
     def bucket(self) -> Column:
         at = F.col(self.time)
-        return F.when(at.isNull(), -1).otherwise(F.floor((at.cast("decimal(38,0)") - F.lit(self.lo)) / F.lit(self.width))).cast("int")
+        return F.when(at.isNull(), -1).otherwise(whole(at - F.lit(self.lo).cast("long"), self.width)).cast("int")
 
     def _of(self, values: list[int | None]) -> Column:
         return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), self.bucket() + 2)

@@ -206,7 +206,7 @@ def ns_to_cycles(spark, sf_dir):
 @query(f"WITH {EV}, b AS (SELECT min(ts_ns // 1000000) o FROM ev) SELECT event_id, ts_ns // 1000000 - (o - (o % 134217728)) AS cycles FROM ev, b")
 def clock_unwrap(spark, sf_dir):
     """Milliseconds as a 27-bit counter, restored to a whole one. Every stream starts from its first value."""
-    rows = tables.event_rows(spark, sf_dir).select(F.lit(0).alias("k"), "event_id", F.pmod(F.floor(F.col("ts_ns") / F.lit(1_000_000)).cast("long"), F.lit(2**27)).alias("low"))
+    rows = tables.event_rows(spark, sf_dir).select(F.lit(0).alias("k"), "event_id", F.pmod(fields.whole(F.col("ts_ns"), 1_000_000), F.lit(2**27)).alias("low"))
     return clock.unwrap(rows, "low", 27, ["k"], ["event_id"]).select("event_id", F.col("cycles").cast("long").alias("cycles"))
 
 
@@ -482,7 +482,7 @@ def session_gap(spark, sf_dir):
 def tumbling_counts(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select("event_type", tables.ns_of("ts").alias("ns"))
     width = 21_600_000_000_000
-    return raw.groupBy((F.floor(F.col("ns") / F.lit(width)) * F.lit(width // 1000)).cast("long").alias("window_us"), "event_type").agg(F.count("*").alias("n"))
+    return raw.groupBy((fields.whole(F.col("ns"), width) * (width // 1000)).alias("window_us"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import whole
 from ..schema import RANKS, TITLES
 
 DEFAULT_STEP = 10_000
@@ -25,7 +26,7 @@ def count_blocks(df: DataFrame, step: int = DEFAULT_STEP) -> DataFrame:
     """(block, msg_type, n): counts so far after every ``step`` messages by ``pos``, and after the last."""
     from pyspark.sql import Window
 
-    per = df.groupBy(F.floor((F.col("pos") - 1) / F.lit(step)).cast("long").alias("block"), "msg_type").agg(F.count("*").alias("n"))
+    per = df.groupBy(whole(F.col("pos") - 1, step).alias("block"), "msg_type").agg(F.count("*").alias("n"))
     blocks = per.select("block").distinct()
     types = per.select("msg_type").distinct()
     grid = blocks.crossJoin(F.broadcast(types))  # at most eight types

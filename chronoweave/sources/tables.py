@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fields import whole
 from ..schema import messages
 
 DAY_NS = 86_400 * 1_000_000_000
@@ -46,7 +47,7 @@ def event_rows(spark: SparkSession, sf_dir: str, begin: int | None = None, end:
     stream = (F.col("user_id") % STREAMS).cast("long")
     rows = raw.select(
         stream.cast("int").alias("port_ord"), (F.col("event_id") * 8 + 4).alias("src_seq"), F.lit("events").alias("trace_name"), F.lit(0).cast("long").alias("stream_class_id"), stream.alias("stream_id"), F.lit("EV").alias("msg_type"), ns_of("ts").alias("ts_ns"),
-        F.floor(ns_of("ts") / F.lit(DAY_NS)).cast("long").alias("packet_ord"), _class_id("event_type").alias("event_class_id"), F.col("event_type").alias("event_class_name"), "event_id", "user_id", "value", "props",
+        whole(ns_of("ts"), DAY_NS).alias("packet_ord"), _class_id("event_type").alias("event_class_id"), F.col("event_type").alias("event_class_name"), "event_id", "user_id", "value", "props",
     )
     return messages(rows)
 

@@ -53,6 +53,8 @@ def test_fields(spark):
 def test_times(spark):
     got = one(spark, times.clock_text(F.lit(1_704_067_323_000_000_005)), times.clock_text(F.lit(-1_500_000_000)), times.clock_text(F.lit(None).cast("long")), times.clock_text(F.lit(5), seconds=True), times.delta_text(F.lit(2_000_000_001)))
     assert tuple(got) == ("00:02:03.000000005", "-1.500000000", "??:??:??.?????????", "0.000000005", "+2.000000001")
+    got = one(spark, times.clock_text(F.lit(1_999_999_999)), times.delta_text(F.lit(999_999_999)), fields.floor_div(F.lit(10**15 - 1), F.lit(10**15)), fields.whole(F.lit(-1), 10**9), fields.whole(F.lit(2**63 - 1), 2), clock.ns_to_cycles(F.lit(1_999_999_999).cast("long"), 1).cast("long"))
+    assert tuple(got) == ("00:00:01.999999999", "+0.999999999", 0, -1, 2**62 - 1, 1)
 
 
 def test_text_log(spark, tmp_path):
