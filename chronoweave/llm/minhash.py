@@ -25,12 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import grouped_stream, let, materialize, raw_texts, small_batches
+from .common import grouped_stream, materialize, raw_texts, settings, small_batches
 from .components import connected_components
 
 COORDINATES, MATCHES, WORDS, PERCENT, BLOCK = 40, 22, 5, 85, 2048
-#: Ids that may be sent to every executor (8 bytes each); with more, the texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Texts of candidates are fetched by a shuffled join; a Bloom filter of their ids (8 MB at most) keeps most others from it.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -179,11 +183,10 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     small_batches(spark)
     texts = docs.select("doc_id", "text")
     signed = materialize(texts.mapInArrow(_signatures(words, coordinates), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "sig")
-    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
-    classes = materialize(classes, "class")
-    lead = classes.select("rep").distinct()
-    small = classes.count() <= BROADCAST_IDS
-    reps = materialize(signed.where("n_shingles > 0").select("doc_id", "c1", "c2", "sig").join(F.broadcast(classes) if small else classes, ["c1", "c2"]).where("doc_id = rep").groupBy("rep").agg(F.first("sig").alias("sig")), "reps")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("rep"), "sig"))
+    classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("f"), F.count("*").alias("class_size"))
+    classes = materialize(classes.select("c1", "c2", "class_size", "f.rep", "f.sig"), "class")
+    reps = classes.where("rep is not null").select("rep", "sig")
     posts = reps.mapInArrow(_items(coordinates), "item long, rep long")
     often = posts.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     # of each document: its items that another document has too, rare ones first; all others come before them
@@ -198,17 +201,16 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     groups = connected_components(likely, "likely")
     groups = materialize(groups, "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    inside = groups.join(sizes, "component").withColumnRenamed("node", "rep")
-    n_inside = groups.count()
-    of_reps = inside.select("rep", "component", "n")
-    wanted = texts.join(F.broadcast(of_reps) if n_inside <= BROADCAST_IDS // 2 else of_reps, F.col("doc_id") == F.col("rep")).select("rep", "component", "n", "text")
+    inside = materialize(groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", "n"), "inside")
+    wanted = texts.join(inside.where("n > 1"), F.col("doc_id") == F.col("rep")).select("rep", "component", "n", "text")
     wanted = _blocked(wanted, "component", "n", block).select("component", "bi", "bj", "rep", F.col("text").cast("binary").alias("text"))
     links = wanted.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_group_links(words, percent), "a long, b long")
-    final = connected_components(links, "links").withColumnRenamed("node", "rep")
+    with settings(spark, BLOOM):
+        final = connected_components(links, "links").withColumnRenamed("node", "rep")
     of = materialize(classes.join(final, "rep", "left").select("c1", "c2", "class_size", F.coalesce("component", "rep").alias("component_id")), "of")
-    placed = signed.drop("sig").join(F.broadcast(of) if small else of, ["c1", "c2"], "left")
+    placed = signed.drop("sig").join(of, ["c1", "c2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (component == F.col("doc_id")).alias("kept"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
