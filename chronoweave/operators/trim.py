@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import Bound, parse_bound, resolved
 from ..schema import STREAM, messages
+from .storage import stored
 
 
 def _is(*types: str) -> Column:
@@ -46,35 +47,51 @@ def _made(state: DataFrame, at: int, packet: str, stream: str) -> DataFrame:
     return messages(out.withColumn("_n", F.row_number().over(order)).drop("_k"))
 
 
-def trim_ns(df: DataFrame, begin: int | None = None, end: int | None = None) -> DataFrame:
-    """df: a message table with ``pos``. Bounds in ns from origin, None for none. Returns it trimmed, with new ``pos``."""
+def trim_ns(df: DataFrame, begin: int | None = None, end: int | None = None, store: bool = True) -> DataFrame:
+    """df: a message table with ``pos``. Bounds in ns from origin, None for none. Returns it trimmed, with new ``pos``.
+
+    The input is read several times (where to begin, what is alive there, where to cut, what is open there), so it is stored
+    first; where to begin and to cut are then filters on ``pos`` that reach the scan.
+    """
     if begin is not None and end is not None and begin > end:
         raise ValueError("the range begins after its end")
     df = messages(df)
+    if begin is None and end is None:
+        return df
+    if store:
+        df = stored(df, "trim")
     loss = _is("DE", "DP")
+    shift = 0
+    fresh = None
     if begin is not None:
         reaches = (F.col("ts_ns") >= begin) | (loss & (F.col("end_ts_ns") >= begin))
-        start = df.agg(F.min(F.when(reaches, F.col("pos"))).alias("_start"))
-        with_start = df.crossJoin(F.broadcast(start))  # one row
-        skipped = with_start.where(F.col("_start").isNull() | (F.col("pos") < F.col("_start"))).drop("_start")
-        alive = _state(skipped, "pos").where("began = 1 and ended = 0")
-        fresh = _made(alive, begin, "PB", "SB")
-        rest = with_start.where(F.col("pos") >= F.col("_start"))
+        start = df.where(reaches).agg(F.min("pos")).first()[0]
+        skipped = df if start is None else df.where(F.col("pos") < start)
+        made = _made(_state(skipped, "pos").where("began = 1 and ended = 0"), begin, "PB", "SB")
+        fresh = made.withColumn("pos", F.col("_n").cast("long")).drop("_n")
+        if store:
+            fresh = stored(fresh, "fresh")  # a row or two for each stream
+        df = df.limit(0) if start is None else df.where(F.col("pos") >= start)
+        shift = fresh.count() - (start or 1) + 1
         moved = loss & (F.col("ts_ns") < begin)
-        rest = rest.withColumn("disc_count", F.when(~F.coalesce(moved, F.lit(False)), F.col("disc_count"))).withColumn("ts_ns", F.when(moved, F.lit(begin).cast("long")).otherwise(F.col("ts_ns")))
-        made = fresh.agg(F.count("*").alias("_made"))
-        rest = rest.crossJoin(F.broadcast(made)).withColumn("pos", F.col("pos") - F.col("_start") + F.col("_made") + 1).drop("_start", "_made")
-        df = fresh.withColumn("pos", F.col("_n").cast("long")).drop("_n").unionByName(rest, allowMissingColumns=True)
-    if end is not None:
-        cut = df.agg(F.min(F.when(F.col("ts_ns") > end, F.col("pos"))).alias("_cut"))
-        kept = df.crossJoin(F.broadcast(cut)).where(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut")))
-        crossing = loss & (F.col("end_ts_ns") > end)
-        kept = kept.withColumn("disc_count", F.when(~F.coalesce(crossing, F.lit(False)), F.col("disc_count"))).withColumn("end_ts_ns", F.when(crossing, F.lit(end).cast("long")).otherwise(F.col("end_ts_ns")))
-        there = kept.where("_cut is not null").drop("_cut")
-        closing = _made(_state(there, "pos").where("began = 1 and ended = 0"), end, "PE", "SE")
-        shifted = closing.crossJoin(F.broadcast(cut)).withColumn("pos", F.col("_cut") - 1 + F.col("_n")).drop("_n", "_cut")
-        df = kept.drop("_cut").unionByName(shifted, allowMissingColumns=True)
-    return df
+        df = df.withColumn("disc_count", F.when(~F.coalesce(moved, F.lit(False)), F.col("disc_count"))).withColumn("ts_ns", F.when(moved, F.lit(begin).cast("long")).otherwise(F.col("ts_ns")))
+
+    def whole(rest: DataFrame) -> DataFrame:
+        rest = rest.withColumn("pos", F.col("pos") + F.lit(shift))
+        return rest if fresh is None else fresh.unionByName(rest, allowMissingColumns=True)
+
+    if end is None:
+        return whole(df)
+    cut = df.where(F.col("ts_ns") > end).agg(F.min("pos")).first()[0]
+    crossing = loss & (F.col("end_ts_ns") > end)
+    kept = df if cut is None else df.where(F.col("pos") < cut)
+    kept = kept.withColumn("disc_count", F.when(~F.coalesce(crossing, F.lit(False)), F.col("disc_count"))).withColumn("end_ts_ns", F.when(crossing, F.lit(end).cast("long")).otherwise(F.col("end_ts_ns")))
+    out = whole(kept)
+    if cut is None:
+        return out
+    closing = _made(_state(out, "pos").where("began = 1 and ended = 0"), end, "PE", "SE")
+    closing = closing.withColumn("pos", F.col("_n").cast("long") + F.lit(cut + shift - 1)).drop("_n")
+    return out.unionByName(closing, allowMissingColumns=True)
 
 
 def trim(df: DataFrame, begin: str | int | None = None, end: str | int | None = None, zone: str = "UTC") -> DataFrame:
