@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, raw_texts, small_batches
 
-SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 5000, 0.7, 0.1, 2.2, 200_000
+SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE, LONGEST = 20_000, 5000, 0.7, 0.1, 2.2, 300_000, 40
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKED = {"*": "aeiou"}
@@ -43,12 +43,14 @@ _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)} | {c: 27 + i for i, c in enum
 N = 27 + 21
 WORD = re.compile(r"[^\W\d_]+")
 _L = r"[^\W\d_]"
-_ODD = re.compile(
-    rf"(?<![\w@$!|+])(?:{_L}[ ._\-*]){{3,}}{_L}(?![\w@$!|+])"
-    rf"|[0-9@$!|+(€£¡]*{_L}+(?:[0-9@$!|+(€£¡*._\-~^·]+{_L}+)+[0-9$]*(?![\w@])"
-    rf"|(?<![\w@$|+.])[0-9@$|+€£¡]+{_L}+(?![\w@])"
-    rf"|{_L}*({_L})\1\1{_L}*"
-)
+#: Disguises: letters set apart by blanks; leet characters or separators before or between letters; a letter three times.
+_MARK = "0-9@$!|+(€£¡*"
+_SPACED = re.compile(rf"(?<!\w)(?:{_L} ){{3,}}{_L}(?!\w)")
+_MARKED = re.compile(rf"(?<![\w@$|+.])(?:[0-9@$!|+€£¡]*+{_L}++(?:[{_MARK}._\-~^·]++{_L}++)+[0-9$]*|[0-9@$|+€£¡]++{_L}++)(?![\w@])")
+_LONG = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*")
+#: What a text must hold for the patterns above to match at all; far faster to find.
+_MARKED_AT_ALL = re.compile(rf"[{_MARK}._\-~^·]{_L}")
+_TRIPLES = [c * 3 for c in _CODE]
 
 
 def _codes() -> np.ndarray:
@@ -150,17 +152,28 @@ def costs(counts: dict[int, int]) -> np.ndarray:
     return -np.log(p3).ravel()
 
 
+def restored(low: str, decode: Decoder) -> set[str]:
+    """The words behind the disguises in a lower-case text."""
+    found: set[str] = set()
+    patterns = [_SPACED] if _SPACED.search(low) else []
+    if _MARKED_AT_ALL.search(low):
+        patterns.append(_MARKED)
+    if any(t in low for t in _TRIPLES):
+        patterns.append(_LONG)
+    for pattern in patterns:
+        for m in pattern.finditer(low):
+            token = m.group()
+            if len(token) <= LONGEST:
+                found.update(decode(token).split())
+    return found
+
+
 def words_of(text: str | None, decode: Decoder) -> set[str]:
     """Distinct words of a text, lower-case, with those restored from disguise."""
     if not text:
         return set()
     low = text.lower()
-    found = set(WORD.findall(low))
-    for m in _ODD.finditer(low):
-        token = m.group().strip(" ")
-        if len(token) <= 40:
-            found.update(decode(token).split())
-    return found
+    return set(WORD.findall(low)) | restored(low, decode)
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +203,28 @@ def _train(decode: Decoder):
 class Scorer:
     def __init__(self, table: np.ndarray, weights: dict[str, float], prior: float):
         self.decode, self.weights, self.prior = Decoder(table), weights, prior
-        self.lexicon = weights.keys()
+        self.chunks: dict[str, tuple[str, ...]] = {}
+
+    def plain(self, low: str) -> set[str]:
+        """Words of the lexicon in a lower-case text as it stands; what lies between blanks is looked up once."""
+        hits: set[str] = set()
+        known, weights = self.chunks, self.weights
+        for c in set(low.split()):
+            got = known.get(c)
+            if got is None:
+                got = tuple(w for w in WORD.findall(c) if w in weights)
+                if len(known) >= CACHE:
+                    known.clear()
+                known[c] = got
+            if got:
+                hits.update(got)
+        return hits
 
     def __call__(self, text: str | None) -> float:
-        hits = self.lexicon & words_of(text, self.decode)
+        hits: set[str] = set()
+        if text:
+            low = text.lower()
+            hits = self.plain(low) | (self.weights.keys() & restored(low, self.decode))
         x = self.prior + sum(sorted((self.weights[w] for w in hits), reverse=True)[:20])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
