@@ -6,8 +6,12 @@ those of the benchmark. A hit fixes a diagonal (the item and how far its tokens
 item and the document are compared one by one, and an overlap counts if some window of ``WINDOW`` tokens (the whole
 item, if shorter) agrees but for one token in five.
 
-Tokens are lower-case (A-Z) runs of letters, digits and characters beyond ASCII. Items with fewer tokens than the
-longer mask spans (11) are not searched for. Null and empty texts hold nothing. Documents with one doc_id are judged
+The masks cover the rule: however the tokens that may differ lie in such a window, one mask fits somewhere between them
+(tests/llm enumerates all patterns), so no overlap that counts is missed. A document's end inside the window is a
+difference like any other.
+
+Tokens are lower-case (A-Z) runs of letters, digits and characters beyond ASCII. Items with fewer than ``LEAST``
+tokens are not searched for. Null and empty texts hold nothing. Documents with one doc_id are judged
 together. The benchmark's hashes are broadcast only if they are few; otherwise the join is shuffled.
 """
 
@@ -18,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize
 
-#: Each mask as the starts of pairs of neighbouring tokens: 11011011011 and 1111001111.
-MASKS = ((0, 3, 6, 9), (0, 2, 6, 8))
-SPAN, WINDOW, AGREE = 11, 15, 0.8
+#: The tokens under each mask: 110111 and 110001011. Each is placed wherever its own span fits.
+MASKS = ((0, 1, 3, 4, 5), (0, 1, 5, 7, 8))
+SPANS = tuple(m[-1] + 1 for m in MASKS)
+LEAST, WINDOW, AGREE = 11, 15, 0.8
 BROADCAST_SEEDS, BROADCAST_ROWS = 1_000_000, 200_000
 
 
@@ -30,26 +35,26 @@ def tokens(text: str) -> Column:
 
 
 def seeds(words: Column) -> Column:
-    """Hashes of the first mask at all positions, then those of the second: twice (tokens - 10) of them."""
-
-    def both(pairs: Column, n: Column) -> Column:
-        def under(mask: int) -> Column:
-            a, b, c, d = MASKS[mask]
-            return F.transform(F.slice(pairs, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(pairs, i + b), F.get(pairs, i + c), F.get(pairs, i + d), F.lit(mask)))
+    """Hashes of the first mask at all positions, then those of the second."""
 
-        return F.concat(under(0), under(1))
+    def under(h: Column, pairs: Column) -> Column:
+        n = F.size(h)
+        first = F.transform(F.slice(pairs, F.lit(1), n - (SPANS[0] - 1)), lambda x, i: F.xxhash64(x, F.get(pairs, i + 3), F.get(h, i + 5), F.lit(0)))
+        second = F.transform(F.slice(pairs, F.lit(1), F.greatest(n - (SPANS[1] - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 5), F.get(pairs, i + 7), F.lit(1)))
+        return F.concat(first, second)
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = let(hashed, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
-    found = let(pairs, lambda p: both(p, F.size(p) - (SPAN - 1)))
-    return F.when(F.size(words) >= SPAN, found).otherwise(F.array().cast("array<bigint>"))
+    found = let(hashed, lambda h: let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))), lambda p: under(h, p)))
+    return F.when(F.size(words) >= SPANS[0], found).otherwise(F.array().cast("array<bigint>"))
 
 
 def _places(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, seed, pos) of every seed; pos is the token at which the mask begins."""
     made = df.select(key, let(tokens(text), seeds).alias("seeds"))
     out = made.select(key, F.size("seeds").alias("n"), F.posexplode("seeds").alias("at", "seed"))
-    return out.select(key, "seed", F.pmod(F.col("at"), F.expr("n div 2")).alias("pos"))
+    # of n seeds, (n + 3) div 2 are of the first mask, as the second is placed three times less; all, if only that fits
+    first = F.expr(f"(n + {SPANS[1] - SPANS[0]}) div 2")
+    return out.select(key, "seed", F.when(F.col("at") < first, F.col("at")).otherwise(F.col("at") - first).cast("int").alias("pos"))
 
 
 def _overlap(doc: Column, item: Column, shift: Column) -> Column:
@@ -66,7 +71,7 @@ def _overlap(doc: Column, item: Column, shift: Column) -> Column:
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs: (doc_id, text, ...); benchmark: (item_id, text, ...). Returns verified overlaps (doc_id, item_id, agreeing, total)."""
-    items = materialize(benchmark.select("item_id", tokens("text").alias("item_words"), "text").where(F.size("item_words") >= SPAN), "items")
+    items = materialize(benchmark.select("item_id", tokens("text").alias("item_words"), "text").where(F.size("item_words") >= LEAST), "items")
     keyed = materialize(_places(items, "item_id").groupBy("seed").agg(F.collect_set(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("of")), "seeds")
     few = keyed.count() <= BROADCAST_SEEDS
     n_items = items.count()
