@@ -43,12 +43,13 @@ _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)} | {c: 27 + i for i, c in enum
 N = 27 + 21
 WORD = re.compile(r"[^\W\d_]+")
 _L = r"[^\W\d_]"
-#: Disguises: letters set apart by blanks; leet characters or separators before or between letters; a letter three times.
-_MARK = "0-9@$!|+(€£¡*"
-_SPACED = re.compile(rf"(?<!\w)(?:{_L} ){{3,}}{_L}(?!\w)")
-_MARKED = re.compile(rf"(?<![\w@$|+.])(?:[0-9@$!|+€£¡]*+{_L}++(?:[{_MARK}._\-~^·]++{_L}++)+[0-9$]*|[0-9@$|+€£¡]++{_L}++)(?![\w@])")
+#: Disguises: letters set apart one by one; leet characters or separators before or between letters; a letter three times.
+#: A disguise may begin after anything but a letter or a further leet character, which would be part of it.
+_MARK, _LEAD = "0-9@$!|+(€£¡*", "0-9@$!|+(€£¡"
+_SPACED = re.compile(rf"(?<!\w)(?:{_L}[ ._\-*]){{3,}}{_L}(?!\w)")
+_MARKED = re.compile(rf"(?<!{_L})(?<![{_LEAD}])(?:[{_LEAD}]++{_L}++(?:[{_MARK}._\-~^·]++{_L}++)*|{_L}++(?:[{_MARK}._\-~^·]++{_L}++)+)[0-9$]*(?![\w@])")
 _LONG = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*")
-#: What a text must hold for the patterns above to match at all; far faster to find.
+#: What a text must hold for _MARKED to match at all; far faster to find.
 _MARKED_AT_ALL = re.compile(rf"[{_MARK}._\-~^·]{_L}")
 _TRIPLES = [c * 3 for c in _CODE]
 
@@ -165,6 +166,8 @@ def restored(low: str, decode: Decoder) -> set[str]:
             token = m.group()
             if len(token) <= LONGEST:
                 found.update(decode(token).split())
+                if token[0] in "(!|+":  # a letter's stand-in, or punctuation
+                    found.update(decode(token.lstrip("(!|+")).split())
     return found
 
 

@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import re
 
+import pytest
 
-from chronoweave.llm import decontaminate
+from chronoweave.llm import decontaminate, toxicity
 
 
 def test_masks_cover_the_rule():
@@ -31,3 +33,27 @@ def test_decontamination_of_all_patterns(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {r.doc_id: r.contaminated for r in decontaminate.contamination(df, bench).collect()}
     assert [d for d, x in got.items() if x != (d < len(rows))] == []
+
+
+@pytest.fixture(scope="module")
+def decode(spark):
+    return toxicity.Decoder(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_disguises_after_punctuation(decode):
+    for seen, meant in (("...1d10t", "idiot"), (".m0r0n", "moron"), ("..st*pid", "stupid"), ("_m0r0n", "moron"), ("...i-d-i-o-t", "idiot"), ("...$cum", "scum"), ("(1d10t)", "idiot"), ("(l0wn", "clown"), ("i d-i o.t", "idiot")):
+        assert meant in toxicity.words_of(f"you {seen} there", decode), seen
+
+
+#: How disguises between letters were found before they were sought by their marks.
+OLD = re.compile(r"[0-9@$!|+(€£¡]*[^\W\d_]+(?:[0-9@$!|+(€£¡*._\-~^·]+[^\W\d_]+)+[0-9$]*(?![\w@])")
+
+
+def test_disguises_against_the_old_pattern():
+    """Every token that the old pattern finds lies in one that is found now."""
+    rng = random.Random(6)
+    for _ in range(30_000):
+        text = "".join(rng.choice("abé 10@$!|+(*._-~^·,'") for _ in range(rng.randrange(1, 25)))
+        now = [m.span() for m in toxicity._MARKED.finditer(text)]
+        for m in OLD.finditer(text):
+            assert any(a <= m.start() and m.end() <= b for a, b in now), (text, m.group())
