@@ -1,9 +1,10 @@
 """Toxicity scores of texts after noisy-channel restoration.
 
-A character trigram model is counted over all documents. A token that looks disguised (digits or symbols between
-letters, letters three times or more in a row, letters set apart one by one) becomes a lattice: each character may be
-read as itself, as the letters it stands for in leetspeak, or as nothing (a repetition or a separator), each at a cost.
-The Viterbi path of lowest cost under the model is the restored word. Words as written and words restored are then
+A character trigram model is counted over all documents. A token that looks disguised (digits or symbols before, between
+or after letters, letters three times or more in a row, letters set apart one by one) becomes a lattice: each character
+may be read as itself, as the letters it stands for in leetspeak, as a word's end (a separator), or as nothing (a
+repetition or a separator), each at a cost. The Viterbi path of lowest cost under the model gives the restored words.
+Tokens may have any length; time and memory grow in proportion to it. Words as written and words restored are then
 looked up in a table of weights.
 
 The weights are the log odds of words, learned from labelled rows outside the held-out third; of a family of copies
@@ -22,7 +23,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,26 +32,32 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, raw_texts, small_batches
 
-SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE, LONGEST = 20_000, 5000, 0.7, 0.1, 2.2, 300_000, 40
+SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 5000, 0.7, 0.1, 2.2, 300_000
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKED = {"*": "aeiou"}
 DROP = " ._-~'^`·"
 #: Costs of reading a character as nothing: one of a long run of equal letters, a separator, any other.
 REPEATED, SEPARATED, REMOVED = 2.0, 0.4, 9.0
+#: Cost of reading a separator as a word's end; the character model adds its own.
+ENDED = 0.4
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)} | {c: 27 + i for i, c in enumerate("àáâäçèéêëíîïñóôöùúûüß")}
 N = 27 + 21
 WORD = re.compile(r"[^\W\d_]+")
 _L = r"[^\W\d_]"
-#: Disguises: letters set apart one by one; leet characters or separators before or between letters; a letter three times.
+#: Disguises: letters set apart one by one; leet characters or separators before, between or after letters; a letter three times.
 #: A disguise may begin after anything but a letter or a further leet character, which would be part of it.
-_MARK, _LEAD = "0-9@$!|+(€£¡*", "0-9@$!|+(€£¡"
+_MARK, _LEAD, _TAIL = "0-9@$!|+(€£¡*", "0-9@$!|+(€£¡", "0-9@$!|+€£¡*"
 _SPACED = re.compile(rf"(?<!\w)(?:{_L}[ ._\-*]){{3,}}{_L}(?!\w)")
-_MARKED = re.compile(rf"(?<!{_L})(?<![{_LEAD}])(?:[{_LEAD}]++{_L}++(?:[{_MARK}._\-~^·]++{_L}++)*|{_L}++(?:[{_MARK}._\-~^·]++{_L}++)+)[0-9$]*(?![\w@])")
+_MARKED = re.compile(rf"(?<!{_L})(?<![{_LEAD}])(?:[{_LEAD}]++{_L}++(?:[{_MARK}._\-~^·]++{_L}++)*[{_TAIL}]*|{_L}++(?:(?:[{_MARK}._\-~^·]++{_L}++)+[{_TAIL}]*|[{_TAIL}]+))(?![\w@])")
 _LONG = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*")
 #: What a text must hold for _MARKED to match at all; far faster to find.
-_MARKED_AT_ALL = re.compile(rf"[{_MARK}._\-~^·]{_L}")
+_MARKED_AT_ALL = re.compile(rf"[{_MARK}._\-~^·]{_L}|{_L}[{_TAIL}]")
+#: Of a run of equal letters the first two may be read, the others cost the same whatever is read: three stand for any.
+_RUN = re.compile(rf"({_L})\1{{3,}}")
+_DROPS = re.compile(rf"[{re.escape(DROP)}]+")
+_EQUAL = re.compile(r"(.)\1*", re.DOTALL)
 _TRIPLES = [c * 3 for c in _CODE]
 
 
@@ -101,20 +108,17 @@ class Decoder:
         self.table = table
         self.known: dict[str, str] = {}
 
-    def arcs(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each character what it may be read as, and at what cost; "" is nothing."""
-        out = []
-        for i, c in enumerate(token):
-            run = len(token[:i]) - len(token[:i].rstrip(c))
-            after = len(token[i:]) - len(token[i:].lstrip(c))
-            if c in _CODE:
-                long = run + after >= 3
-                out.append([*([(c, 0.0)] if run < 2 or not long else []), *([("", REPEATED)] if run and long else [])])
-            elif c in LEET:
-                out.append([*((x, 0.5) for x in LEET[c]), ("", REMOVED)])
-            else:
-                out.append([*((x, 1.0) for x in MASKED.get(c, "")), ("", SEPARATED if c in DROP else REMOVED)])
-        return out
+    def arcs(self, token: str) -> Iterator[list[tuple[str, float]]]:
+        """For each character what it may be read as, and at what cost; "" is nothing, " " a word's end."""
+        for m in _EQUAL.finditer(token):
+            c, n = m.group(1), len(m.group())
+            for run in range(n):
+                if c in _CODE:
+                    yield [*([(c, 0.0)] if run < 2 or n < 3 else []), *([("", REPEATED)] if run and n >= 3 else [])]
+                elif c in LEET:
+                    yield [*((x, 0.5) for x in LEET[c]), ("", REMOVED)]
+                else:
+                    yield [*((x, 1.0) for x in MASKED.get(c, "")), *([("", SEPARATED), (" ", ENDED)] if c in DROP else [("", REMOVED)])]
 
     def __call__(self, token: str) -> str:
         got = self.known.get(token)
@@ -126,19 +130,28 @@ class Decoder:
         return got
 
     def decode(self, token: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for arc in self.arcs(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        # a path is (last character, path before it), so that each step costs the same however long it is
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for arc in self.arcs(_RUN.sub(r"\1\1\1", token)):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for c, own in arc:
-                    if c:
-                        state, total = (b, _CODE[c]), cost + own + self.table[(a * N + b) * N + _CODE[c]]
+                    if not c:
+                        state, total, new = (a, b), cost + own, path
+                    elif c != " " or b:
+                        code = _CODE.get(c, 0)
+                        state, total, new = (b, code), cost + own + self.table[(a * N + b) * N + code], (c, path)
                     else:
-                        state, total = (a, b), cost + own
+                        continue
                     if state not in after or total < after[state][0]:
-                        after[state] = (total, path + c)
+                        after[state] = (total, new)
             best = after
-        return min((cost + self.table[(a * N + b) * N], path) for (a, b), (cost, path) in best.items())[1]
+        path = min(((cost + (self.table[(a * N + b) * N] if b else 0.0), path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])[1]
+        letters = []
+        while path:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
 
 def costs(counts: dict[int, int]) -> np.ndarray:
@@ -153,24 +166,52 @@ def costs(counts: dict[int, int]) -> np.ndarray:
     return -np.log(p3).ravel()
 
 
-def restored(low: str, decode: Decoder) -> set[str]:
-    """The words behind the disguises in a lower-case text."""
+def _read(token: str, decode: Decoder) -> Iterator[str]:
+    """Words that a disguise may stand for: as a whole, in one word, part by part, and without what may be punctuation at its ends."""
+    yield from decode(token).split()
+    parts = [x for x in _DROPS.split(token) if x]
+    if len(parts) > 1:
+        yield from decode("".join(parts)).split()
+        for x in parts:
+            if len(x) > 1 and not x.isalpha():
+                yield from decode(x).split()
+    if token[0] in "(!|+":
+        yield from decode(token.lstrip("(!|+")).split()
+    if not token[-1].isalpha() and not (core := token.rstrip("0123456789@$!|+€£¡*")).isalpha():
+        yield from decode(core).split()
+
+
+def in_chunk(chunk: str, decode: Decoder) -> set[str]:
+    """The words behind the disguises in lower-case text without blanks."""
     found: set[str] = set()
-    patterns = [_SPACED] if _SPACED.search(low) else []
-    if _MARKED_AT_ALL.search(low):
-        patterns.append(_MARKED)
-    if any(t in low for t in _TRIPLES):
+    patterns = [_MARKED] if _MARKED_AT_ALL.search(chunk) else []
+    if any(t in chunk for t in _TRIPLES):
         patterns.append(_LONG)
     for pattern in patterns:
-        for m in pattern.finditer(low):
-            token = m.group()
-            if len(token) <= LONGEST:
-                found.update(decode(token).split())
-                if token[0] in "(!|+":  # a letter's stand-in, or punctuation
-                    found.update(decode(token.lstrip("(!|+")).split())
+        for m in pattern.finditer(chunk):
+            found.update(_read(m.group(), decode))
+    return found
+
+
+def set_apart(low: str, decode: Decoder, lexicon: Iterable[str] = ()) -> set[str]:
+    """The words of letters set apart one by one in a lower-case text.
+
+    Nothing shows where such words end. Those of the lexicon with four letters or more are found wherever they stand.
+    """
+    found: set[str] = set()
+    for m in _SPACED.finditer(low):
+        token = m.group()
+        one = _DROPS.sub("", token).replace("*", "")
+        found.update(decode(token).split(), decode(one).split())
+        found.update(w for w in lexicon if len(w) >= 4 and w in one)
     return found
 
 
+def restored(low: str, decode: Decoder) -> set[str]:
+    """The words behind the disguises in a lower-case text. Only letters set apart reach over blanks."""
+    return set_apart(low, decode).union(*(in_chunk(c, decode) for c in set(low.split())))
+
+
 def words_of(text: str | None, decode: Decoder) -> set[str]:
     """Distinct words of a text, lower-case, with those restored from disguise."""
     if not text:
@@ -208,14 +249,14 @@ class Scorer:
         self.decode, self.weights, self.prior = Decoder(table), weights, prior
         self.chunks: dict[str, tuple[str, ...]] = {}
 
-    def plain(self, low: str) -> set[str]:
-        """Words of the lexicon in a lower-case text as it stands; what lies between blanks is looked up once."""
+    def in_chunks(self, low: str) -> set[str]:
+        """Words of the lexicon in a lower-case text, as they stand or disguised; what lies between blanks is looked up once."""
         hits: set[str] = set()
         known, weights = self.chunks, self.weights
         for c in set(low.split()):
             got = known.get(c)
             if got is None:
-                got = tuple(w for w in WORD.findall(c) if w in weights)
+                got = tuple(w for w in {*WORD.findall(c), *in_chunk(c, self.decode)} if w in weights)
                 if len(known) >= CACHE:
                     known.clear()
                 known[c] = got
@@ -227,7 +268,7 @@ class Scorer:
         hits: set[str] = set()
         if text:
             low = text.lower()
-            hits = self.plain(low) | (self.weights.keys() & restored(low, self.decode))
+            hits = self.in_chunks(low) | (self.weights.keys() & set_apart(low, self.decode, self.weights))
         x = self.prior + sum(sorted((self.weights[w] for w in hits), reverse=True)[:20])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 

@@ -57,3 +57,20 @@ def test_disguises_against_the_old_pattern():
         now = [m.span() for m in toxicity._MARKED.finditer(text)]
         for m in OLD.finditer(text):
             assert any(a <= m.start() and m.end() <= b for a, b in now), (text, m.group())
+
+
+def test_long_disguises_and_word_ends(decode):
+    cases = [("idi" + "o" * 45 + "t", "idiot"), ("s t u p i d i d i o t", "idiot"), ("you.1d10t", "idiot"), ("stupid-1d10t", "idiot"), ("x1y2." * 30 + "m0r0n", "moron")]
+    cases += [(w, m) for w, m in (("worthle$$", "worthless"), ("worthle55", "worthless"), ("1d107", "idiot"), ("idi07", "idiot"), ("m0r0n!", "moron"))]
+    for seen, meant in cases:
+        assert meant in toxicity.words_of(f"you {seen} there", decode), seen
+    score = toxicity.Scorer(decode.table, {"worthless": 4.0, "idiot": 4.0}, -3.0)
+    for seen in ("y o u a r e a w o r t h l e s s i d i o t", "such a i d i o t", "y-o-u-i-d-i-o-t", *(w for w, m in cases if m in score.weights)):
+        assert score(f"say {seen} there") > 0.7, seen
+    assert score("a plain text, version2 of it; see w w w and e.g. x.y!") < 0.1
+
+
+def test_shrunk_repeats_decode_alike(decode):
+    """Beyond three, equal letters change no reading."""
+    for n in range(3, 12):
+        assert decode("stu" + "p" * n + "id") == decode("stupppid") and decode("idi" + "o" * n + "7") == decode("idiooo7")
