@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data. DataFrame functions only.
 
 One regular expression finds candidates; those that hold as what they look like (check digit of card numbers, range of IP
-octets, calendar dates) are replaced, all else stays as it is. Numbers and dates go through a keyed Feistel
+octets, calendar dates) are replaced, all else stays as it is. Card numbers are sought in each run of 13 digits or more, set apart by single blanks
+or hyphens at most: any neighbouring groups with 13 to 19 digits in all and a valid check digit, those in a usual
+grouping first; the rest of the run is searched for the other kinds. Numbers and dates go through a keyed Feistel
 permutation of their own domain and are written back in the format that they had: digits into the places of digits,
 check digits made anew, dates as other valid dates of 1900 to 2099. Permutations are one to one and depend on the key
 alone, so equal values stay linked across documents and different ones stay apart. E-mail addresses and secrets (long
@@ -17,6 +19,8 @@ Null texts stay null, empty ones empty. Repeated rows give repeated results. Oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,13 @@ KINDS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?\d{3}|\d{3}[ .-]\d{3})[ .-]\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(KINDS.values())
+OTHERS = "|".join(KINDS.values())
+#: A run of digit groups in which cards are sought. It isn't the end of a decimal fraction, and ends before what is of another kind and reaches beyond it.
+RUN = rf"(?<!\d)(?<!\d\.)\d(?:(?:[ -](?!{KINDS['email']}|{KINDS['ip']}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}(?![\d/-])|\d{{1,2}}/\d{{1,2}}/\d{{4}}(?![\d/-])))?+\d){{12,}}+"
+ANY = f"{OTHERS}|{RUN}"
+#: Lengths of the groups in which cards are printed.
+USUAL = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", "4-4-4-1", "4-4-5", "6-13")
 _DAYS, _FIRST = 73_049, "1900-01-01"
 
 
@@ -90,18 +98,94 @@ def _luhn_sum(digits: Column, first_weight: Column) -> Column:
     return F.aggregate(F.transform(chars, part), F.lit(0), lambda s, x: s + x)
 
 
+def _luhn_valid(digits: Column) -> Column:
+    return F.pmod(_luhn_sum(digits, F.pmod(F.length(digits), F.lit(2)) * -1 + 2), F.lit(10)) == 0
+
+
 def _card(m: Column, key: str) -> Column:
-    """Card numbers keep their length and a valid check digit."""
+    """A valid card number becomes another one of its length."""
 
     def run(d: Column) -> Column:
-        valid = F.pmod(_luhn_sum(d, F.pmod(F.length(d), F.lit(2)) * -1 + 2), F.lit(10)) == 0
         body = permuted_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         checked = let(body, lambda p: F.concat(p, F.pmod(10 - F.pmod(_luhn_sum(p, F.pmod(F.length(p), F.lit(2)) + 1), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(valid, _in_places(m, checked)).otherwise(m)
+        return _in_places(m, checked)
 
     return let(F.regexp_replace(m, "[^0-9]", ""), run)
 
 
+def _spans(groups: Column) -> Column:
+    """Card numbers among groups of digits as [(first, last)], by place, counted from 1; no two share a group."""
+    longest = 19
+    text = lambda i, j: F.array_join(F.slice(groups, i, j - i + 1), "")
+
+    def form(i: Column, j: Column) -> Column:
+        return F.array_join(F.transform(F.slice(groups, i, j - i + 1), lambda g: F.length(g).cast("string")), "-")
+
+    def from_group(i: Column) -> Column:
+        ends = F.sequence(i, F.least(F.size(groups), i + longest - 1))
+        made = F.transform(ends, lambda j: let(text(i, j), lambda d: F.when(F.length(d).between(13, longest) & _luhn_valid(d), F.struct(i.alias("first"), j.alias("last"), ((i == j) | form(i, j).isin(*USUAL)).alias("usual"), F.length(d).alias("n")))))
+        return F.filter(made, lambda x: x.isNotNull())
+
+    found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), from_group))
+    kind = "array<struct<first:int,last:int>>"
+
+    def chosen(spans: Column, taken: Column) -> Column:
+        """From left to right, the longest at each place that shares no group with another."""
+        order = F.sort_array(F.transform(spans, lambda x: F.struct(x["first"].alias("first"), (-x["n"]).alias("n"), x["last"].alias("last"))))
+        own = F.filter(order, lambda x: ~F.exists(taken, lambda t: (x["first"] <= t["last"]) & (t["first"] <= x["last"])))
+        begin = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("got"))
+
+        def add(s: Column, x: Column) -> Column:
+            new = F.struct(x["last"].alias("end"), F.concat(s["got"], F.array(F.struct(x["first"].alias("first"), x["last"].alias("last")))).alias("got"))
+            return F.when(x["first"] > s["end"], new).otherwise(s)
+
+        return F.aggregate(own, begin, add, lambda s: s["got"])
+
+    def both(spans: Column) -> Column:
+        usual = chosen(F.filter(spans, lambda x: x["usual"]), F.array().cast(kind))
+        return let(usual, lambda u: F.sort_array(F.concat(u, chosen(F.filter(spans, lambda x: ~x["usual"]), u))))
+
+    return let(found, both)
+
+
+def _run(m: Column, key: str) -> Column:
+    """What stands for a run of digits: (new, found, replaced)."""
+
+    def woven(groups: Column, spans: Column) -> Column:
+        """Each card after what lies before it; what lies behind the last one."""
+        part = lambda i, j: F.array_join(F.slice(groups, i, F.greatest(j - i + 1, F.lit(0))), "")
+        n = F.size(spans)
+
+        def piece(q: Column) -> Column:
+            after = F.when(q == 1, 1).otherwise(F.get(spans, q - 2)["last"] + 1)
+            last = q > n
+            rest = _replaced(part(after, F.when(last, F.size(groups)).otherwise(F.get(spans, q - 1)["first"] - 1)), OTHERS, lambda x: _single(x, key))
+            card = let(F.get(spans, q - 1), lambda s: let(part(s["first"], s["last"]), lambda c: let(_card(c, key), lambda k: F.struct(k.alias("new"), F.lit(1).alias("found"), (k != c).cast("int").alias("replaced")))))
+            return let(rest, lambda r: F.when(last, r).otherwise(let(card, lambda c: F.struct(F.concat(r["new"], c["new"]).alias("new"), (r["found"] + c["found"]).alias("found"), (r["replaced"] + c["replaced"]).alias("replaced")))))
+
+        return _joined(F.transform(F.sequence(F.lit(1), n + 1), piece))
+
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return let(groups, lambda g: let(_spans(F.transform(g, lambda x: F.regexp_replace(x, "[^0-9]", ""))), lambda s: woven(g, s)))
+
+
+def _joined(parts: Column) -> Column:
+    """Parts (new, found, replaced) in a row as one."""
+    total = lambda f: F.aggregate(parts, F.lit(0), lambda a, x: a + x[f])
+    return F.struct(F.array_join(F.transform(parts, lambda x: x["new"]), "").alias("new"), total("found").alias("found"), total("replaced").alias("replaced"))
+
+
+def _replaced(t: Column, pattern: str, use: Callable[[Column], Column]) -> Column:
+    """The text t with each match m of the pattern replaced by use(m), as (new, found, replaced)."""
+
+    def run(ms: Column) -> Column:
+        new = F.transform(ms, use)
+        count = lambda n: F.size(F.filter(F.zip_with(n, ms, lambda a, b: a != b), lambda x: x))
+        return let(new, lambda n: F.struct(F.array_join(F.zip_with(F.split(t, pattern), n, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "").alias("new"), F.size(ms).alias("found"), count(n).alias("replaced")))
+
+    return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), run)
+
+
 def _ip(m: Column, key: str) -> Column:
     def run(o: Column) -> Column:
         number = F.aggregate(o, F.expr("0L"), lambda s, x: s * 256 + x.cast("long"))
@@ -152,11 +236,18 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
-def pseudonym(m: Column, key: str) -> Column:
-    """What stands for a candidate; the candidate itself if it isn't what it looks like."""
+def _single(m: Column, key: str) -> Column:
+    """What stands for a candidate of any kind but a card; the candidate itself if it isn't what it looks like."""
     whole = lambda k: m.rlike(f"^(?:{KINDS[k]})$")
     digits = _in_places(m, permuted_digits(F.regexp_replace(m, "[^0-9]", ""), key, "number"))
-    return F.when(m.contains("@"), _email(m, key)).when(whole("secret"), _secret(m, key)).when(whole("date"), _date(m, key)).when(whole("ip"), _ip(m, key)).when(whole("phone") | whole("ssn"), digits).otherwise(_card(m, key))
+    return F.when(m.contains("@"), _email(m, key)).when(whole("secret"), _secret(m, key)).when(whole("date"), _date(m, key)).when(whole("ip"), _ip(m, key)).otherwise(digits)
+
+
+def pseudonym(m: Column, key: str) -> Column:
+    """What stands for a match of ANY: (new, found, replaced). A run of digits counts as one candidate at least."""
+    one = let(_single(m, key), lambda n: F.struct(n.alias("new"), F.lit(1).alias("found"), (n != m).cast("int").alias("replaced")))
+    run = let(_run(m, key), lambda r: F.struct(r["new"].alias("new"), F.greatest(r["found"], F.lit(1)).alias("found"), r["replaced"].alias("replaced")))
+    return F.when(m.rlike(f"^(?:{OTHERS})$"), one).otherwise(run)
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -166,15 +257,13 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     found = F.when(likely, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
 
     def run(ms: Column) -> Column:
-        new = F.transform(ms, lambda m: pseudonym(m, key))
-        return F.when(F.size(ms) > 0, F.struct(new.alias("new"), ms.alias("old")))
+        return F.when(F.size(ms) > 0, F.transform(ms, lambda m: pseudonym(m, key)))
 
     held = docs.withColumn("_m", let(found, run))
-    parts = F.split(t, ANY)
-    woven = F.array_join(F.zip_with(parts, F.col("_m.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    counted = F.size(F.filter(F.zip_with(F.col("_m.new"), F.col("_m.old"), lambda a, b: a != b), lambda x: x))
+    woven = F.array_join(F.zip_with(F.split(t, ANY), F.col("_m.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    total = lambda f: F.coalesce(F.aggregate(F.col("_m"), F.lit(0), lambda a, x: a + x[f]), F.lit(0)).cast("long")
     out = held.withColumn(text, F.when(F.col("_m").isNull(), t).otherwise(woven))
-    return out.withColumn("n_found", F.coalesce(F.size("_m.old"), F.lit(0)).cast("long")).withColumn("n_replaced", F.coalesce(counted, F.lit(0)).cast("long")).drop("_m")
+    return out.withColumn("n_found", total("found")).withColumn("n_replaced", total("replaced")).drop("_m")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from chronoweave.llm import decontaminate, toxicity
+from chronoweave.llm import decontaminate, pii, toxicity
 
 
 def test_masks_cover_the_rule():
@@ -74,3 +74,22 @@ def test_shrunk_repeats_decode_alike(decode):
     """Beyond three, equal letters change no reading."""
     for n in range(3, 12):
         assert decode("stu" + "p" * n + "id") == decode("stupppid") and decode("idi" + "o" * n + "7") == decode("idiooo7")
+
+
+CARD = "4417744280351547"
+
+
+def test_cards_in_runs(spark):
+    """A valid card is found beside other digits and after punctuation; its pseudonym is that of the card alone."""
+    grouped = "4417 7442 8035 1547"
+    texts = [CARD, f"{grouped} 12/26", f"{CARD} 123", f"order 12 {CARD}", f"x,{CARD}", f"12,{CARD},9", f"x.{CARD}", f"x-{CARD}", f"{grouped} {grouped}", f"{CARD} 10.20.30.40", f"{CARD} 12/26/2024", f"{CARD} 555-123-4567", f"{CARD} a7@b.org", f"12345 2024-02-29 {CARD}"]
+    same = [f"0.{CARD}", f"{CARD}12345", "4417744280351548 99", "1 2 3", "1234567890123456 12"]
+    got = [r.text for r in spark.createDataFrame([*enumerate(texts + same)], "n int, text string").transform(pii.pseudonymize).orderBy("n").collect()]
+    new = got[0]
+    assert new != CARD and len(new) == 16
+    for t, g in zip(texts, got, strict=False):
+        digits = re.sub("[ -]", "", g)
+        assert new in digits and CARD not in digits, (t, g)
+    assert got[8].replace(" ", "") == new * 2 and got[1].endswith(" 12/26") and got[3].startswith("order 12 ") and got[5] == f"12,{new},9"
+    assert all(x not in "".join(got) for x in ("10.20.30.40", "12/26/2024", "555-123-4567", "a7@b.org", "2024-02-29"))
+    assert got[len(texts) :] == same
