@@ -1,7 +1,8 @@
 """documents -> clean packed sequences, in five stages; each is written as Parquet and reread as the next one's input.
 
 Every stage but the last returns the columns of documents. A stage judges what its predecessor kept; where it learns
-(the toxicity model) it learns from its own input and the labels.
+(the toxicity model) it learns from its own input and the labels. Decisions are taken and carried out row by row, so
+rows without a doc_id, or with one that other rows have too, are judged by their own text.
 """
 
 from __future__ import annotations
@@ -21,27 +22,52 @@ from chronoweave.llm.toxicity import score_toxicity
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
-    """docs but for those whose doc_id is in ids. Rows without a doc_id stay."""
-    ids = materialize(ids.where("doc_id is not null").select("doc_id").distinct(), tag)
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ``row``, a number of its own for each row that stays the same however often and in what parts the table is read.
+
+    It is made of a row's file and its place there; a table that isn't read from files as it stands is stored first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs, "rows")
+    placed = docs.select(*DOCUMENT_COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
+    return placed.join(F.broadcast(numbers), "_file").select(*DOCUMENT_COLUMNS, (F.shiftleft("_n", 40) + F.col("_at")).alias("row"))
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What the operators judge: each row as a document of its own."""
+    return keyed.select(F.col("row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
+    """The documents but for those whose row is among ``rows`` (row)."""
+    rows = materialize(rows.select("row"), tag)
+    few = rows.count() <= BROADCAST_IDS
+    return keyed.join(F.broadcast(rows) if few else rows, "row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"), "toxic")
+    keyed = _keyed(docs)
+    scored = score_toxicity(_by_row(keyed), table(spark, sf_dir, "labels"), corpus=docs)
+    return _without(keyed, scored.where("predicted = 1").select(F.col("doc_id").alias("row")), "toxic")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
-    return _without(docs, near_duplicates(docs).where("not kept"), "copies")
+    """One row of each group of near-duplicates stays: that with the smallest doc_id, and of those the first."""
+    keyed = _keyed(docs)
+    found = near_duplicates(_by_row(keyed)).select(F.col("doc_id").alias("row"), "component_id")
+    found = materialize(found.join(keyed.select("row", "doc_id"), "row"), "groups-of-rows")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("f")).select("f.row")
+    return _without(keyed, found.join(first, "row", "left_anti"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "leaks")
+    keyed = _keyed(docs)
+    judged = contamination(_by_row(keyed), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, judged.where("contaminated").select(F.col("doc_id").alias("row")), "leaks")
 
 
 def pseudonymize_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

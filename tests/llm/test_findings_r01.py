@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from chronoweave.llm import decontaminate, pii, toxicity
 
 
@@ -93,3 +94,27 @@ def test_cards_in_runs(spark):
     assert got[8].replace(" ", "") == new * 2 and got[1].endswith(" 12/26") and got[3].startswith("order 12 ") and got[5] == f"12,{new},9"
     assert all(x not in "".join(got) for x in ("10.20.30.40", "12/26/2024", "555-123-4567", "a7@b.org", "2024-02-29"))
     assert got[len(texts) :] == same
+
+
+def test_pipeline_judges_rows(spark, tmp_path):
+    """Rows without a doc_id, and rows that share one, are judged by their own text; of copies one row stays."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    toxic, leak = "you stupid worthless idiot, pathetic moron, disgusting trash scum", f"see here {item} as asked"
+    plain, other, third = (" ".join(f"{p}{i}" for i in range(60)) for p in ("plain", "other", "third"))
+
+    def kept(stage, rows):
+        planted = spark.createDataFrame([(d, t, "en", "planted", 1) for d, t in rows], docs.schema)
+        for df in (docs.unionByName(planted), None):
+            if df is None:  # the same as a table of files
+                docs.unionByName(planted).write.mode("overwrite").parquet(str(tmp_path / "in"))
+                df = spark.read.parquet(str(tmp_path / "in"))
+            yield sorted((r.doc_id or 0, r.text) for r in stage(spark, df, sf).where("source = 'planted'").collect())
+
+    for got in kept(corpus_pipeline.drop_toxic, [(None, toxic), (None, plain), (90001, toxic), (90001, other)]):
+        assert got == [(0, plain), (90001, other)]
+    for got in kept(corpus_pipeline.decontaminate, [(None, leak), (None, plain), (90001, leak), (90001, other)]):
+        assert got == [(0, plain), (90001, other)]
+    for got in kept(corpus_pipeline.near_dedup, [(90009, plain), (90001, plain), (90001, plain), (None, plain), (90001, other), (None, third), (None, third)]):
+        assert got == [(0, third), (90001, other), (90001, plain)]
