@@ -41,13 +41,16 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one set here if it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, one set here, in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get()
