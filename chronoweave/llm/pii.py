@@ -252,8 +252,11 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.when(i > 0, i.cast("string")), F.lower(m)), 256))
-    new = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(m))
+    def run(first: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(1), F.ceil(F.length(m) / 64).cast("int")), lambda i: F.when(i == 1, first).otherwise(F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), first), 256)))
+        return F.substring(F.array_join(more, ""), F.lit(1), F.length(m))
+
+    new = let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m)), 256), run)
     return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
