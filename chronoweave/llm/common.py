@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows in an Arrow batch: some very long texts in one batch must fit a Python worker.
 BATCH_ROWS = 1000
+#: For a shuffled join of whole tables with a few keys: a Bloom filter of these (8 MB at most) keeps most other rows from it.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

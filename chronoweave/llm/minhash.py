@@ -25,16 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import grouped_stream, materialize, raw_texts, settings, small_batches
+from .common import BLOOM, grouped_stream, materialize, raw_texts, settings, small_batches
 from .components import connected_components
 
 COORDINATES, MATCHES, WORDS, PERCENT, BLOCK = 40, 22, 5, 85, 2048
-#: Texts of candidates are fetched by a shuffled join; a Bloom filter of their ids (8 MB at most) keeps most others from it.
-BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
-}
 
 
 def _multipliers(k: int) -> np.ndarray:
