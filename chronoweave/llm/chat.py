@@ -5,17 +5,21 @@ given a role (its own for nothing, another at a cost) and either opens a turn of
 automaton asks for some, or is merged into the turn before. Dynamic programming over the automaton's four states finds
 the cheapest repair of a whole conversation.
 
-Turns of a conversation are ordered by (turn, hash of role and text). Conversations are dealt out by ranges of that
+Turns of a conversation are ordered by (turn, hash of role and text, role, text). Conversations are dealt out by ranges of that
 order, so one that is too long for a task lies in several ranges: for each of its pieces the costs between entry and exit
 states (a 4 x 4 matrix) are computed first, chained on the driver (two pieces a range at most), and every piece is then
-repaired from the entry to the exit state of the best chain. The result is that of one run over the conversation.
+repaired from the entry to the exit state of the best chain. The result is that of one run over the conversation. Only
+keys and roles are stored and dealt out for the ranges and the chain; the texts are read and moved once.
 
-Null and unknown roles count as unknown (cheap to relabel), null texts as empty, a null conv_id is a conversation of its
-own, a null turn comes first. Repeated turns are kept and merged or parted like others. Other columns are ignored.
+A conv_id may be of any type that can be text. Null and unknown roles count as unknown (cheap to relabel), null texts as empty,
+rows with a null conv_id are one conversation, a null turn (or one that is no whole number) comes first. Repeated turns are
+kept and merged or parted like others. Marks of turns inside a text are broken by a blank (``<| im_end|>``), so no text
+opens or ends a turn. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +37,7 @@ MERGE, RELABEL, UNKNOWN, INSERT = 1, 3, 1, 2
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FAR = 10**15
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-
-
-def role_code(role: str | None) -> int:
-    name = (role or "").strip().lower()
-    return NAMES.get(name) or ALIASES.get(name, 0)
+_MARKS = re.compile(r"<\|(?=im_(?:start|end)\|>)")
 
 
 def _between(state: int, role: int) -> tuple[int, ...] | None:
@@ -106,9 +106,9 @@ def _empty(role: int) -> str:
     return f"{OPEN}{ROLE[role]}\n{CLOSE}"
 
 
-def chain(pieces: list[tuple[int, int, int, list[list[int]]]]) -> dict[tuple[int, int], tuple[int, int | None, bool, int]]:
+def chain(pieces: list[tuple[int, object, int, list[list[int]]]]) -> dict[tuple[int, object], tuple[int, int | None, bool, int]]:
     """pieces: (range, conversation, turns, transfer). For each piece of a conversation of several: entry, exit, if it is the last, and turns before it."""
-    by: dict[int, list] = {}
+    by: dict[object, list] = {}
     for p in sorted(pieces, key=lambda p: p[0]):
         by.setdefault(p[1], []).append(p)
     out = {}
@@ -133,62 +133,80 @@ def chain(pieces: list[tuple[int, int, int, list[list[int]]]]) -> dict[tuple[int
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last conversation of each range, with their transfer costs."""
+    """The first and the last conversations of each range, with their transfer costs."""
     rows: list[tuple] = []
-    last: tuple | None = None
-    for (r, conv), parts in grouped_stream(batches, ["range", "h"]):
-        run = (r, conv, [role_code(x) for p in parts for x in p.column(p.schema.get_field_index("role")).to_pylist()])
-        if last is None or last[0] != r:
-            rows += [last, run] if last else [run]
-            last = None
-        last = run
-    if last and last is not rows[-1]:
-        rows.append(last)
-    seen = {(r, c): roles for r, c, roles in rows}
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([r for r, _ in seen], pa.int32()), pa.array([c for _, c in seen], pa.int64()), pa.array([len(x) for x in seen.values()], pa.int64()), pa.array([sum(transfer(x), []) for x in seen.values()], pa.list_(pa.int64()))], ["range", "h", "n", "costs"]
-    )
+    inner: list[tuple] = []
+
+    def closed() -> Iterator[tuple]:
+        """Of the runs of a range: those of its first and its last key h (several conversations only if hashes of ids collide)."""
+        ends = {inner[0][1], inner[-1][1]} if inner else set()
+        for r, h, c, roles in inner:
+            if h in ends:
+                yield r, h, c, len(roles), sum(transfer(roles), [])
+
+    for (r, h, c), parts in grouped_stream(batches, ["range", "h", "c"]):
+        if inner and inner[-1][0] != r:
+            rows += closed()
+            inner = []
+        first = inner[0][1] if inner else h
+        # what is neither of the first key nor of the last one so far isn't needed
+        inner = [x for x in inner if x[1] in (first, h)]
+        inner.append((r, h, c, [x for p in parts for x in p.column(3).to_pylist()]))
+    rows += closed()
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())], strict=True)], ["range", "h", "c", "n", "costs"])
 
 
-SCHEMA = "conv_id long, turn long, place long, input_role string, role string, action string, n_inserted long, cost long, rendered string"
+_OUT = {"turn": pa.int64(), "place": pa.int64(), "input_role": pa.string(), "role": pa.string(), "action": pa.string(), "n_inserted": pa.int64(), "cost": pa.int64(), "rendered": pa.string()}
+_SQL = {pa.int64(): "long", pa.string(): "string"}
 
 
 def repair_conversations(conversations: DataFrame, rows_per_range: int = 20_000, least_ranges: int = 64) -> DataFrame:
-    """conversations: (conv_id, turn, role, text, ...). Returns SCHEMA, a row for each input turn.
+    """conversations: (conv_id, turn, role, text, ...). Returns (conv_id, turn, place, input_role, role, action, n_inserted, cost, rendered), a row for each input turn.
 
     ``rendered`` holds what the turn adds to its conversation; joined in the order of ``place``, they are the whole.
     """
     spark = conversations.sparkSession
     small_batches(spark)
-    turn = F.least(F.greatest(F.coalesce(F.col("turn").cast("long"), F.lit(-1)), F.lit(-1)), F.lit(2**42))
-    tie = F.xxhash64("role", "text").bitwiseAND(F.lit(2**20 - 1))
-    keyed = conversations.select((turn * F.lit(2**20) + tie).alias("d"), (F.octet_length(F.coalesce("text", F.lit(""))) + 64).cast("long").alias("size"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("conv_id").cast("long"), F.lit(LOW)).alias("h"), F.col("conv_id").cast("long").alias("conv_id"), "role", "text")
-    keyed = materialize(keyed, "turns")
-    ranged, _ = ranges_of(keyed, least_ranges, rows_per_range)
-    ordered = ranged.repartition("range").sortWithinPartitions("range", "h", "d")
-    found = ordered.select("range", "h", "role").mapInArrow(_edges, "range int, h long, n long, costs array<long>").collect()
-    ends = chain([(r["range"], r["h"], r["n"], [r["costs"][4 * i : 4 * i + 4] for i in range(4)]) for r in found])
+    kind = dict(conversations.dtypes)["conv_id"]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    conv, turn = F.col("conv_id"), F.expr("try_cast(turn as bigint)")
+    h = F.when(conv.isNull(), LOW).otherwise(conv.cast("long") if whole else F.xxhash64(conv.cast("string")))
+    # sets null apart from any value, and values apart whose hashes are alike
+    c = F.when(conv.isNull(), "").otherwise(F.lit("=") if whole else F.concat(F.lit("="), conv.cast("string")))
+    role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
+    names = {**NAMES, **ALIASES}
+    code = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in names.items() for x in p)), role), F.lit(0))
+    order = ["h", "c", "d", "t"]
+    keys = [h.alias("h"), c.alias("c"), F.coalesce(turn, F.lit(LOW)).alias("d"), F.xxhash64("role", "text").alias("t")]
+    keyed = materialize(conversations.select(*keys, code.cast("byte").alias("code"), (F.octet_length(F.coalesce("text", F.lit(""))) + 64).cast("long").alias("size")), "turns")
+    ranges = ranges_of(keyed, ["h", "d", "t"], least_ranges, rows_per_range)
+    dealt = keyed.drop("size").withColumn("range", ranges.column()).repartition("range").sortWithinPartitions("range", *order, "code")
+    found = dealt.select("range", "h", "c", "code").mapInArrow(_edges, "range int, h long, c string, n long, costs array<long>").collect()
+    ends = chain([(r["range"], (r["h"], r["c"]), r["n"], [r["costs"][4 * i : 4 * i + 4] for i in range(4)]) for r in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (r, h), parts in grouped_stream(batches, ["range", "h"]):
-            t = pa.Table.from_batches(parts).to_pydict()
-            entry, leave, last, before = ends.get((r, h), (START, None, True, 0))
-            path = best_path([role_code(x) for x in t["role"]], entry, leave)
+        for (r, h, c), parts in grouped_stream(batches, ["range", "h", "c"]):
+            held = pa.Table.from_batches(parts)
+            t = held.select(["code", "turn", "role", "text"]).to_pydict()
+            entry, leave, last, before = ends.get((r, (h, c)), (START, None, True, 0))
+            path = best_path(t["code"], entry, leave)
             out = []
             for i, (text, (s, q, cost, action, inserted)) in enumerate(zip(t["text"], path, strict=True)):
-                text = text or ""
+                text = _MARKS.sub("<| ", text or "")
                 piece = f"\n\n{text}" if action.startswith("merge") else (CLOSE if s != START else "") + "".join(map(_empty, inserted)) + f"{OPEN}{ROLE[q]}\n{text}"
                 n = len(inserted)
                 if last and i == len(path) - 1:
                     piece += CLOSE + "".join(map(_empty, CLOSING[q]))
                     n += len(CLOSING[q])
                     cost += INSERT * len(CLOSING[q])
-                out.append((t["conv_id"][i], t["turn"][i], before + i, t["role"][i], ROLE[q], action, n, cost, piece))
-            cols = list(zip(*out, strict=True))
-            types = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["conv_id", "turn", "place", "input_role", "role", "action", "n_inserted", "cost", "rendered"])
+                out.append((t["turn"][i], before + i, t["role"][i], ROLE[q], action, n, cost, piece))
+            cols = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), _OUT.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([held.column("conv_id").combine_chunks(), *cols], ["conv_id", *_OUT])
 
-    return ordered.select("range", "h", "conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
+    texts = conversations.select(*keys, "conv_id", turn.alias("turn"), "role", "text", code.cast("byte").alias("code")).withColumn("range", ranges.column())
+    ordered = texts.repartition("range").sortWithinPartitions("range", *order, "code", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return ordered.select("range", "h", "c", "code", "conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{n} {_SQL[k]}" for n, k in _OUT.items()))
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:

@@ -1,90 +1,104 @@
-"""Ranges of nearly equal weight by sampled splitters, for keys of two longs.
+"""Ranges of nearly equal weight by sampled splitters, for keys of one or more longs.
 
 A weighted sample of keys is drawn by hash and its quantiles become the boundaries; every row finds its range by binary
 search. Ranges that turn out overfull are sampled again and subdivided. Only boundaries and one sum for each range reach
-the driver. The range is a column, so any later job deals the rows out alike.
+the driver. The range is a column, so any later job deals the rows out alike. Rows alike in their whole key share a range.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE, LEAST_RANGES, MOST_RANGES, DRAWS, OVERFULL, ROUNDS = 20_000, 64, 4096, 40, 2.0, 4
-LOW = -(2**63)
+ROWS_PER_RANGE, BYTES_PER_RANGE, LEAST_RANGES, MOST_RANGES, DRAWS, OVERFULL, ROUNDS = 20_000, 256 << 20, 64, 20_000, 40, 2.0, 4
+LOW, HIGH = -(2**63), 2**63 - 1
+Key = tuple[int, ...]
 
 
-def _drawn(size: Column, per_byte: float, seed: int) -> Column:
+def _drawn(keys: list[str], size: Column, per_byte: float, seed: int) -> Column:
     """A draw with a chance that follows the size; the same row is drawn the same way when a task runs again."""
-    even = (F.shiftrightunsigned(F.xxhash64("h", "d", F.lit(seed)), 11)).cast("double") / float(2**53)
+    even = (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11)).cast("double") / float(2**53)
     return even < size * F.lit(per_byte)
 
 
-def _splitters(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of weighted keys; a text that is a boundary once begins its range as a whole."""
+def _splitters(sample: list[tuple[Key, float]], parts: int) -> list[Key]:
+    """Quantile boundaries of weighted keys. Each is cut to as few leading parts as set it apart from the one before, so that what shares these begins its range as a whole."""
     sample.sort()
     if not sample:
         return []
-    at = np.cumsum([w for _, _, w in sample])
+    at = np.cumsum([w for _, w in sample])
     picks = np.unique(np.searchsorted(at, at[-1] * np.arange(1, parts) / parts))
-    keys = [sample[min(i, len(sample) - 1)][:2] for i in picks]
-    out: list[tuple[int, int]] = []
-    for h, d in keys:
-        if not out or out[-1][0] != h:
-            out.append((h, LOW))
-        elif out[-1] != (h, d):
-            out.append((h, d))
+    out: list[Key] = []
+    for key in (sample[min(i, len(sample) - 1)][0] for i in picks):
+        for n in range(1, len(key) + 1):
+            cut = key[:n] + (LOW,) * (len(key) - n)
+            if not out or cut > out[-1]:
+                out.append(cut)
+                break
     return out
 
 
-def _assign(splitters: list[tuple[int, int]]):
-    hs, ds = np.array([s[0] for s in splitters], np.int64), np.array([s[1] for s in splitters], np.int64)
+def places(splitters: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """How many splitters (rows of several longs, in order) are at or below each key: a binary search over all keys at once."""
+    lo, hi = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(splitters), np.int64)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        below, equal = np.zeros(len(lo), bool), np.ones(len(lo), bool)
+        for k, key in enumerate(keys):
+            s = splitters[np.minimum(mid, len(splitters) - 1), k]
+            below |= equal & (s < key)
+            equal &= s == key
+        up = open_ & (below | equal)
+        lo = np.where(up, mid + 1, lo)
+        hi = np.where(open_ & ~up, mid, hi)
+    return lo.astype(np.int32)
+
+
+class Ranges:
+    """The boundaries of ranges over ``keys`` and the sum of sizes in each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
-            lo, hi = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
-            own = lo.copy()
-            for a, b in {(a, b) for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)}:
-                rows = (lo == a) & (hi == b)
-                own[rows] = a + np.searchsorted(ds[a:b], d[rows], "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], [*batch.schema.names, "range"])
+    def __init__(self, keys: list[str], splitters: list[Key], sums: dict[int, int] | None = None):
+        self.keys, self.splitters, self.sums = keys, splitters, sums or {}
 
-    return run
+    def column(self) -> Column:
+        """The range of a row. Only the keys go through Python."""
+        table = np.array(self.splitters, np.int64).reshape(-1, len(self.keys))
 
+        @F.pandas_udf("int")
+        def of(*keys: pd.Series) -> pd.Series:
+            return pd.Series(places(table, [k.to_numpy(np.int64) for k in keys]))
 
-def ranges_of(keyed: DataFrame, least: int = LEAST_RANGES, rows: int = ROWS_PER_RANGE, most: int = MOST_RANGES) -> tuple[DataFrame, dict[int, int]]:
-    """keyed: columns (d long, size long, ..., h long at the fourth place, ...), without nulls in these; a written table.
+        return of(*self.keys)
 
-    Returns keyed with its range (int), in the order of (h, d), and the sum of sizes of each range.
-    """
+
+def ranges_of(keyed: DataFrame, keys: list[str], least: int = LEAST_RANGES, rows: int = ROWS_PER_RANGE, most: int = MOST_RANGES) -> Ranges:
+    """keyed: a written table with long columns ``keys`` and ``size``, without nulls in these."""
     n, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = int(min(most, max(least, n // rows)))
+    ranges = int(min(most, max(least, n // rows, total // BYTES_PER_RANGE)))
     target = max(1, total / ranges)
 
-    def draw(df: DataFrame, per_byte: float, seed: int) -> list[tuple[int, int, float]]:
-        return [(r["h"], r["d"], max(1.0, r["size"] * per_byte)) for r in df.where(_drawn(F.col("size"), per_byte, seed)).select("h", "d", "size").collect()]
+    def draw(df: DataFrame, per_byte: float, seed: int) -> list[tuple[Key, float]]:
+        found = df.where(_drawn(keys, F.col("size"), per_byte, seed)).select(*keys, "size").collect()
+        return [(tuple(r[:-1]), max(1.0, r[-1] * per_byte)) for r in found]
 
     splitters = _splitters(draw(keyed, DRAWS / target, 0), ranges)
-    schema = ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes) + ", range int"
     for k in range(1, ROUNDS + 1):
-        ranged = keyed.mapInArrow(_assign(splitters), schema)
-        sums = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
-        over = {g: b for g, b in sums.items() if b > OVERFULL * target}
+        out = Ranges(keys, splitters)
+        ranged = keyed.select(*keys, "size", out.column().alias("range"))
+        out.sums = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
+        over = {g: b for g, b in out.sums.items() if b > OVERFULL * target}
         if not over or k == ROUNDS:
             break
         sample = draw(ranged.where(F.col("range").isin(list(over))), DRAWS * 4 / target, k)
-        more: set[tuple[int, int]] = set()
-        held = [(LOW, LOW), *splitters, (2**63 - 1, 2**63 - 1)]
+        more: set[Key] = set()
+        held = [(LOW,) * len(keys), *splitters, (HIGH,) * len(keys)]
         for g, b in over.items():
-            inside = [s for s in sample if held[g] <= s[:2] < held[g + 1]]
+            inside = [s for s in sample if held[g] <= s[0] < held[g + 1]]
             more.update(_splitters(inside, int(2 * b / target) + 1))
         fresh = sorted(set(splitters) | more)
         if fresh == splitters:
             break
         splitters = fresh
-    return ranged, sums
+    return out

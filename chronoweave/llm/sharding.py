@@ -29,7 +29,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, whole: float = WHOLE)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("d"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("h"), "doc_id")
     keyed = materialize(keyed, "keyed")
-    ranged, sums = ranges_of(keyed)
+    ranges = ranges_of(keyed, ["h", "d"])
+    ranged, sums = keyed.withColumn("range", ranges.column()), ranges.sums
     total = sum(sums.values())
     before = 0
     prefix = []

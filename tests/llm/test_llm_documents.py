@@ -300,15 +300,31 @@ def test_chat(spark):
     for r in got:
         by[r.conv_id].append(r)
 
+    legal = {None: {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
+    known = {"user": "user", "assistant": "assistant", "system": "system", "human": "user"}
+
+    def reach(costs):
+        """Empty turns at 2 each: shortest ways from state to state, an inserted system turn never."""
+        costs = dict(costs)
+        for _ in range(3):
+            for s, c in list(costs.items()):
+                for q in legal[s] - {"system"}:
+                    costs[q] = min(costs.get(q, 10**9), c + 2)
+        return costs
+
     def least(roles):
-        costs = {chat.START: 0}
-        for role in roles:
+        costs = {None: 0}
+        for role in map(known.get, roles):
             after = {}
-            for s, q, c, *_ in chat.MOVES[chat.role_code(role)]:
-                if s in costs:
-                    after[q] = min(after.get(q, 10**9), costs[s] + c)
+            label = lambda q, role=role: 0 if q == role else 3 if role else 1
+            for s, c in costs.items():
+                if s:
+                    after[s] = min(after.get(s, 10**9), c + 1 + label(s))
+            for s, c in reach(costs).items():
+                for q in legal[s]:
+                    after[q] = min(after.get(q, 10**9), c + label(q))
             costs = after
-        return min(c + chat.INSERT * len(chat.CLOSING[s]) for s, c in costs.items())
+        return reach(costs)["assistant"]
 
     for turns in by.values():
         turns.sort(key=lambda r: r.place)
