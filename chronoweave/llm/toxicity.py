@@ -4,24 +4,25 @@ A character trigram model is counted over all documents. A token that looks disg
 or after letters, letters three times or more in a row, letters set apart one by one) becomes a lattice: each character
 may be read as itself, as the letters it stands for in leetspeak, as a word's end (a separator), or as nothing (a
 repetition or a separator), each at a cost. The Viterbi path of lowest cost under the model gives the restored words.
-Tokens may have any length; time and memory grow in proportion to it. Words as written and words restored are then
-looked up in a table of weights.
+Tokens may have any length; time and memory grow in proportion to it. Letters of other scripts that look like Latin ones, wide and
+styled forms, and characters without width are read as what they look like, beside the text as it stands. Words as written
+and words restored are then looked up in a table of weights, and the weights of all distinct words found are added up.
 
 The weights are the log odds of words, learned from labelled rows outside the held-out third; of a family of copies
-(texts with one smallest three-word shingle hash), the row with the smallest doc_id counts. At most ``sample`` labelled rows are used (drawn by hash of the doc_id), and at most
-``LEXICON`` words kept. Only words whose odds speak for toxicity beyond doubt (a 95 % bound) have a
-weight, so length alone moves no score.
+(texts with one label that agree in three MinHash coordinates of their three-word shingles), the row with the smallest doc_id
+counts. At most ``sample`` labelled rows are used (those with the smallest hashes of the doc_id). Only words whose odds speak
+for toxicity beyond doubt (a 95 % bound) have a weight, so length alone moves no score; there is no other bound on the lexicon.
 
-Null and empty texts get the prior's score. doc_ids without a label are scored like all others. Repeated rows give
-repeated results; other columns are ignored. With no label at all, every score is the prior of 0.1.
+Null and empty texts get the prior's score. doc_ids without a label are scored like all others; a null doc_id is not
+held out. Repeated rows give repeated results; other columns are ignored. With no label at all, every score is the prior of 0.1.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -30,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import crc_of_id, raw_texts, small_batches
 
-SAMPLE, LEXICON, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 5000, 0.7, 0.1, 2.2, 300_000
+SAMPLE, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 0.7, 0.1, 2.2, 300_000
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKED = {"*": "aeiou"}
-DROP = " ._-~'^`·"
+DROP = " ._-~'^`·,/\\:;\"\t\n\r"
+#: Small letters of Cyrillic and Greek that look like Latin ones, in the order of these, and characters without width.
+_LIKE = str.maketrans("аеорсухіјѕһԁӏкмтвнгпиαοινρτυκεηχγ", "aeopcyxijshdlkmtbhrnuaoivptukenxy", "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad")
+_FOREIGN = re.compile("[\u0370-\u052f\u200b-\u200f\u2060\u00ad\ufeff\uff00-\uffef\U0001d400-\U0001d7ff]")
 #: Costs of reading a character as nothing: one of a long run of equal letters, a separator, any other.
 REPEATED, SEPARATED, REMOVED = 2.0, 0.4, 9.0
 #: Cost of reading a separator as a word's end; the character model adds its own.
@@ -49,7 +54,8 @@ _L = r"[^\W\d_]"
 #: Disguises: letters set apart one by one; leet characters or separators before, between or after letters; a letter three times.
 #: A disguise may begin after anything but a letter or a further leet character, which would be part of it.
 _MARK, _LEAD, _TAIL = "0-9@$!|+(€£¡*", "0-9@$!|+(€£¡", "0-9@$!|+€£¡*"
-_SPACED = re.compile(rf"(?<!\w)(?:{_L}[ ._\-*]){{3,}}{_L}(?!\w)")
+_ONE, _APART = r"[^\W_]|[@$!|+(€£¡*]", r"[ ._\-*~'^`·,/\\:;\"\t\n\r]"
+_SPACED = re.compile(rf"(?<![\w@$|+(€£¡])(?:{_ONE}){_APART}{{1,3}}(?:(?:{_ONE}){_APART}{{1,3}}){{2,}}(?:{_ONE})(?!\w)")
 _MARKED = re.compile(rf"(?<!{_L})(?<![{_LEAD}])(?:[{_LEAD}]++{_L}++(?:[{_MARK}._\-~^·]++{_L}++)*[{_TAIL}]*|{_L}++(?:(?:[{_MARK}._\-~^·]++{_L}++)+[{_TAIL}]*|[{_TAIL}]+))(?![\w@])")
 _LONG = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*")
 #: What a text must hold for _MARKED to match at all; far faster to find.
@@ -201,12 +207,21 @@ def set_apart(low: str, decode: Decoder, lexicon: Iterable[str] = ()) -> set[str
     found: set[str] = set()
     for m in _SPACED.finditer(low):
         token = m.group()
-        one = _DROPS.sub("", token).replace("*", "")
-        found.update(decode(token).split(), decode(one).split())
-        found.update(w for w in lexicon if len(w) >= 4 and w in one)
+        if sum(map(str.isalpha, token)) < 2:
+            continue
+        one = _DROPS.sub("", token)
+        bare, read = one.replace("*", ""), decode(one).split()
+        found.update(decode(_DROPS.sub(lambda d: d.group()[0], token)).split(), read, decode(bare).split())
+        found.update(w for w in lexicon if len(w) >= 4 and (w in bare or w in "".join(read)))
     return found
 
 
+def readings(text: str) -> list[str]:
+    """The text in lower case, and as it looks if it holds characters that look like others."""
+    low = text.lower()
+    return [low, unicodedata.normalize("NFKC", low).lower().translate(_LIKE)] if _FOREIGN.search(low) else [low]
+
+
 def restored(low: str, decode: Decoder) -> set[str]:
     """The words behind the disguises in a lower-case text. Only letters set apart reach over blanks."""
     return set_apart(low, decode).union(*(in_chunk(c, decode) for c in set(low.split())))
@@ -214,20 +229,18 @@ def restored(low: str, decode: Decoder) -> set[str]:
 
 def words_of(text: str | None, decode: Decoder) -> set[str]:
     """Distinct words of a text, lower-case, with those restored from disguise."""
-    if not text:
-        return set()
-    low = text.lower()
-    return set(WORD.findall(low)) | restored(low, decode)
+    return set().union(*(restored(low, decode).union(WORD.findall(low)) for low in readings(text))) if text else set()
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each labelled row with the smallest hash of its three-word shingles, which copies mostly share."""
+    """Each labelled row with three minima over hashes of its three-word shingles, in which copies mostly agree."""
+    turns = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
     for batch in batches:
         own = []
         for text in raw_texts(batch.column(1)):
-            w = (text or b"").lower().split()
-            own.append(min(zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], ["doc_id", "text", "toxic", "family"])
+            hashes = bw.shingle_hashes(*bw.word_hashes(*bw.joined([text or b""])), 3)[0]
+            own.append(bytes().join(bw.mix(hashes ^ t).min().tobytes() for t in turns) if len(hashes) else b"")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], ["doc_id", "text", "toxic", "family"])
 
 
 def _train(decode: Decoder):
@@ -266,10 +279,9 @@ class Scorer:
 
     def __call__(self, text: str | None) -> float:
         hits: set[str] = set()
-        if text:
-            low = text.lower()
-            hits = self.in_chunks(low) | (self.weights.keys() & set_apart(low, self.decode, self.weights))
-        x = self.prior + sum(sorted((self.weights[w] for w in hits), reverse=True)[:20])
+        for low in readings(text) if text else ():
+            hits |= self.in_chunks(low) | (self.weights.keys() & set_apart(low, self.decode, self.weights))
+        x = self.prior + math.fsum(self.weights[w] for w in hits)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -281,12 +293,13 @@ def character_model(docs: DataFrame) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
     """The weights of words and the prior's log odds."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(3)) != 1)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    n = usable.count()
-    part = min(1.0, sample / max(1, n))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # the sample is bounded by ``sample`` ids, so it may be sent to every executor
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_families, "doc_id long, text string, toxic int, family long")
-    rows = rows.groupBy("family").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.text", "r.toxic")
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    part = min(1.0, 1.1 * sample / max(1, usable.count()))
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    # exactly bounded by ``sample`` ids, so it may be sent to every executor
+    drawn = usable.where(order <= F.lit(int(part * 2**53))).orderBy(order, "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_families, "doc_id long, text string, toxic int, family binary")
+    rows = rows.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.text", "toxic")
     counts = rows.select("text", "toxic").mapInArrow(_train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     whole = counts.where("word is null").first()
     nt, nc = (whole["toxic"] or 0, whole["clean"] or 0) if whole else (0, 0)
@@ -295,9 +308,8 @@ def learn(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
     weight = F.log((F.col("toxic") + 0.5) / (nt + 1)) - F.log((F.col("clean") + 0.5) / (nc + 1))
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     sure = F.col("word").isNotNull() & (F.col("toxic") >= max(3, round(0.002 * nt))) & (weight - 1.64 * doubt >= SURE)
-    strong = counts.where(sure).select("word", "toxic", weight.alias("w"))
-    best = strong.orderBy(F.desc(F.col("toxic") * F.col("w")), "word").limit(LEXICON).collect()
-    return {r["word"]: r["w"] for r in best}, math.log(nt / nc)
+    strong = counts.where(sure).select("word", weight.alias("w"))
+    return {r["word"]: r["w"] for r in strong.collect()}, math.log(nt / nc)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -324,7 +336,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import collections
 import itertools
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, decontaminate, pii, ranges
+from chronoweave.llm import chat, decontaminate, pii, ranges, toxicity
 
 
 @pytest.mark.parametrize("times", [[1_700_000_000_000_000 + i for i in range(6)], [-10, -9, -8, -7, -6, -5], [2**62 + i for i in range(6)], [None, -(2**62), 0, 5, 2**42, 2**42 + 1]])
@@ -146,3 +147,72 @@ def test_pii_permutations_stay_in_their_domains(spark):
     got = _pii(spark, ssns)
     assert len(set(got)) == len(ssns)
     assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", g) for g in got)
+
+
+@pytest.fixture(scope="module")
+def decode(spark):
+    return toxicity.Decoder(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_disguises_of_all_sorts(decode):
+    seen = ["i d 1 o t", "1.d.1.0.t", "i  d  i  o  t", "idio7", "i'd'i'o't", "i`d`i`o`t", "1 d 1 0 t", "i​d​i​o​t", "іdіоt", "ｉｄｉｏｔ", "i\nd\ni\no\nt", "i/d/i/o/t", "i, d, i, o, t", "i-d-1-0-t"]
+    score = toxicity.Scorer(decode.table, {"idiot": 4.0}, -3.0)
+    for x in seen:
+        assert "idiot" in toxicity.words_of(f"you {x} there", decode) and score(f"you {x} there") > 0.7, x
+    for x in ("1 2 3 4 5 6 7", "a, b, c, d and e", "x = y + z", "", None):
+        assert score(x) < 0.1, x
+
+
+def test_viterbi_against_all_paths(decode):
+    """The decoded reading costs no more than any path through the lattice, for short tokens of every kind of character."""
+    n = toxicity.N
+
+    def cost(path):
+        a = b = 0
+        total = 0.0
+        for c, own in path:
+            total += own
+            if c == " " and not b:
+                return None
+            if c:
+                code = toxicity._CODE.get(c, 0)
+                total += decode.table[(a * n + b) * n + code]
+                a, b = b, code
+        return total + (decode.table[(a * n + b) * n] if b else 0.0)
+
+    rng = random.Random(8)
+    for _ in range(400):
+        token = "".join(rng.choice("abeiost013@$!*.- é") for _ in range(rng.randrange(1, 7)))
+        paths = list(itertools.product(*decode.arcs(toxicity._RUN.sub(r"\1\1\1", token))))
+        found = {}
+        for path in paths:
+            c = cost(path)
+            if c is not None:
+                word = "".join(x for x, _ in path)
+                found[word] = min(c, found.get(word, c))
+        assert found[decode.decode(token)] == pytest.approx(min(found.values())), token
+
+
+def test_toxicity_scores_from_weights(spark, decode):
+    """Scores are the logistic of the prior and the weights of all distinct words found, and nothing bounds their number."""
+    weights = {f"bad{chr(97 + i)}": 0.1 * (i + 1) for i in range(26)}
+    score = toxicity.Scorer(decode.table, weights, -5.0)
+    for k in (0, 1, 20, 21, 26):
+        text = " ".join([*list(weights)[:k], *list(weights)[:k], "plain"])
+        assert score(text) == pytest.approx(1 / (1 + math.exp(5.0 - sum(list(weights.values())[:k]))))
+    docs = spark.createDataFrame([(None, "a"), (None, None), (5, "b")], "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert [r.held_out is None for r in got] == [False] * 3 and all(r.score == pytest.approx(0.1) for r in got)
+
+
+def test_toxicity_held_out(spark):
+    """On the third of labels that nothing is learned from, toxic documents score higher."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    bad, good = [[r for r in got if r.toxic == t] for t in (1, 0)]
+    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) and sum(r.predicted for r in good) <= 0.02 * len(good)
+
+
+def test_very_long_tokens_of_toxicity(decode):
+    for token in ("i1" * 500_000, "a" * 1_000_000, "a " * 500_000, "1 " * 500_000, "*" * 1_000_000, "a." * 300_000):
+        toxicity.words_of(token[:300_000], decode)
