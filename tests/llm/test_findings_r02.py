@@ -6,10 +6,11 @@ import math
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, decontaminate, pii, ranges, toxicity
+from chronoweave.llm import chat, decontaminate, packing, pii, ranges, tokens, toxicity
 
 
 @pytest.mark.parametrize("times", [[1_700_000_000_000_000 + i for i in range(6)], [-10, -9, -8, -7, -6, -5], [2**62 + i for i in range(6)], [None, -(2**62), 0, 5, 2**42, 2**42 + 1]])
@@ -216,3 +217,65 @@ def test_toxicity_held_out(spark):
 def test_very_long_tokens_of_toxicity(decode):
     for token in ("i1" * 500_000, "a" * 1_000_000, "a " * 500_000, "1 " * 500_000, "*" * 1_000_000, "a." * 300_000):
         toxicity.words_of(token[:300_000], decode)
+
+
+def test_packing_of_tiers(spark):
+    """Every tier packs windows of its own, step groups are equal over the whole table, and short pieces of long documents are rare."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(3), path).collect()
+    windows = {r.sequence_id: r.tier for r in got}
+    assert {256, 512, 1024, 2048} <= set(windows.values())
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r.step_group].add((r.sequence_id, r.tier))
+    sizes = {g: sum(n for _, n in w) for g, w in groups.items()}
+    assert sorted(sizes) == list(range(len(sizes))) and all(n == 16 * 2048 for g, n in sizes.items() if g < len(sizes) - 1)
+    short = [r for r in got if r.length < packing.LEAST and r.doc_tokens >= packing.LEAST]
+    assert len(short) <= 0.02 * len(got), len(short)
+
+
+@pytest.mark.parametrize("shape", [[1] * 300, [255] * 9, [2048 * 3, 1, 2047], [33, 31, 1025, 1023, 7] * 40, [3], []])
+def test_packer_places_each_id_once(shape):
+    import numpy as np
+
+    packer = packing.Packer(5 << 32)
+    rows = []
+    for d, n in enumerate(shape):
+        packer.add(d, np.arange(n, dtype="<u4").tobytes())
+        if packer.held > 3000:
+            rows += packer.pack(False)
+    rows += packer.pack(True)
+    at = collections.Counter((r[0], r[1] + k) for r in rows for k in range(r[2]))
+    assert at == collections.Counter((d, k) for d, n in enumerate(shape) for k in range(n))
+    sums = collections.Counter()
+    for r in rows:
+        sums[r[5], r[7]] += r[2]
+    assert all(n == tier and tier & (tier - 1) == 0 for (_, tier), n in sums.items())
+
+
+def test_other_tokenizer_files(spark, tmp_path):
+    """A file that cuts texts in another way goes through the library, ids and counts are still its own."""
+    import json
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    texts = ["Some TEXT, with  2 spaces\nand lines", "it's we'll <|endoftext|> é 日本", "", None, "x" * 5000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for name, change in (("word_bpe_49k.json", {"normalizer": None}), ("byte_bpe_50k.json", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            file = json.load(f) | change
+        at = str(tmp_path / name)
+        with open(at, "w", encoding="utf-8") as f:
+            json.dump(file, f)
+        tok = Tokenizer.from_file(at)
+        want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
+        assert [r.n_tokens for r in tokens.token_counts(df, at).orderBy("doc_id").collect()] == [len(x) for x in want]
+        ids = packing.Ids(at)
+        assert [ids(t.encode() if t else None) for t in texts] == [x.tobytes() for x in want]
+
+
+def test_token_counts_shuffle_nothing(spark):
+    out = tokens.op10_token_counts(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and plan.count("Scan parquet") == 1
