@@ -8,8 +8,15 @@ in ``matches`` items share one of the first ``coordinates - matches + 1`` of eac
 posting lists are skipped and their agreement is counted on the signatures of documents that met in a short list.
 
 Items held by one document only make most documents drop out before anything else is moved. Equal sets form one class
-beforehand. A large bucket or group is cut into blocks of ``block`` documents and each pair of blocks is a row group of
-its own, so no group has to fit a task; only spanning links leave a task, never all pairs.
+beforehand (equal by two 64-bit sums over their hashes and their size; these classes aren't compared again). A large bucket is
+cut into blocks of ``block`` documents, each pair of blocks a row group of its own, so no group has to fit a task. Of a bucket
+only pairs that span it leave the task, each of a document and the one it was reached from, never all pairs.
+
+Pairs are confirmed where they were found: a pair's first text is moved to the second, which is copied once for every
+``block`` of its partners. Most groups of candidates are then one component. In those that aren't, documents outside
+the largest component may still be linked to others than their partner. They are left out if too many of their shingles stand
+nowhere else in the group to reach the similarity with anything; what remains is compared, by blocks and on hashed sets, with
+the members of other components only, and the spanning pairs found there are confirmed on texts like the first ones.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Repeated doc_ids keep their
 rows and share the class of their text. Other columns are ignored.
@@ -28,7 +35,7 @@ from . import bytewords as bw
 from .common import BLOOM, grouped_stream, materialize, raw_texts, settings, small_batches
 from .components import connected_components
 
-COORDINATES, MATCHES, WORDS, PERCENT, BLOCK = 40, 22, 5, 85, 2048
+COORDINATES, MATCHES, WORDS, PERCENT, BLOCK, SET_BLOCK = 40, 22, 5, 85, 2048, 512
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -75,27 +82,25 @@ def _items(k: int):
     return run
 
 
-def _roots(n: int, link) -> np.ndarray:
-    """Component of each of n nodes, as its first node. link(i, rest): which of the nodes in rest are linked to i."""
-    root = np.arange(n)
+def _tree(n: int, link) -> np.ndarray:
+    """For each of n nodes the one that it was reached from, itself for the first of each component. link(i, rest): which of the nodes in rest are linked to i."""
+    parent = np.arange(n)
     left = np.arange(n)
     while len(left):
-        top, left = left[0], left[1:]
-        front = [top]
+        front, left = [left[0]], left[1:]
         while front and len(left):
-            hit = link(front.pop(), left)
-            new = left[hit]
-            root[new] = top
-            front.extend(new.tolist())
+            i = front.pop()
+            hit = link(i, left)
+            parent[left[hit]] = i
+            front.extend(left[hit].tolist())
             left = left[~hit]
-    return root
+    return parent
 
 
-def _blocked(df: DataFrame, key: str, count: str, block: int) -> DataFrame:
+def _blocked(df: DataFrame, count: str, block: int) -> DataFrame:
     """Rows with the pairs (bi, bj) of blocks in which they take part: one for a group of at most ``block`` rows."""
     blocks = F.ceil(F.col(count) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    df = df.withColumn("_n", blocks).withColumn("_b", own)
+    df = df.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("bi"), F.greatest(F.col("_b"), o).alias("bj")))
     return df.withColumn("_p", F.explode(pairs)).withColumn("bi", F.col("_p.bi")).withColumn("bj", F.col("_p.bj")).drop("_p", "_n", "_b")
 
@@ -116,10 +121,10 @@ def _bucket_links(k: int, matches: int):
             if len(rep) < 2:
                 continue
             sig = np.frombuffer(b"".join(x for p in parts for x in p.column(4).to_pylist()), np.uint32).reshape(len(rep), k)
-            root = _roots(len(rep), lambda i, rest, sig=sig: (sig[rest] == sig[i]).sum(1) >= matches)
-            far = np.flatnonzero(root != np.arange(len(rep)))
+            parent = _tree(len(rep), lambda i, rest, sig=sig: (sig[rest] == sig[i]).sum(1) >= matches)
+            far = np.flatnonzero(parent != np.arange(len(rep)))
             us.extend(rep[far].tolist())
-            vs.extend(rep[root[far]].tolist())
+            vs.extend(rep[parent[far]].tolist())
             if len(us) >= 50_000:
                 yield out()
         if us:
@@ -138,39 +143,108 @@ def shingle_set(text: bytes, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def _group_links(words: int, percent: int):
-    def exact(texts: list[bytes]) -> np.ndarray:
-        sets = [shingle_set(t, words) for t in texts]
-        if len(sets) == 2:
-            both = len(sets[0] & sets[1])
-            return np.array([0, 0 if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else 1])
-        codes: dict[bytes, int] = {}
-        ids = [np.fromiter((codes.setdefault(x, len(codes)) for x in s), np.int64, len(s)) for s in sets]
-        flag, size = np.zeros(len(codes), np.int64), np.array([len(s) for s in sets])
+def _confirm(words: int, percent: int):
+    """Rows (b, part, kind, a, text): the text of b (kind 0) and after it those of its partners a (kind 1). Gives the pairs that are links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            us: list[int] = []
+            vs: list[int] = []
+            for b, part, kind, a, text in zip(*(batch.column(i).to_pylist() for i in range(4)), raw_texts(batch.column(4)), strict=True):
+                if (b, part) != key:
+                    key, own = (b, part), []
+                x = shingle_set(text, words)
+                if not kind:
+                    own.append(x)
+                    continue
+                for y in own:
+                    both = len(x & y)
+                    if x and 100 * both >= percent * (len(x) + len(y) - both):
+                        us.append(a)
+                        vs.append(b)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["a", "b"])
+
+    return run
+
 
-        def link(i, rest):
-            flag[ids[i]] = 1
-            both = np.add.reduceat(flag[np.concatenate([ids[j] for j in rest])], np.concatenate([[0], np.cumsum(size[rest])[:-1]]))
-            flag[ids[i]] = 0
-            return 100 * both >= percent * (size[rest] + size[i] - both)
+def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """pairs: (a, b), a written table. Those whose sets are alike. A text is moved once for each pair in which it is a, and once for every ``block`` in which it is b."""
+    fan = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    dealt = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    hubs = fan.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wanted = dealt.select("b", "part", F.lit(1).alias("kind"), "a").union(hubs.select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a")))
+    moved = texts.join(wanted, F.col("doc_id") == F.col("a")).select("b", "part", "kind", "a", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return moved.repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(_confirm(words, percent), "a long, b long")
 
-        return _roots(len(sets), link)
+
+def _hashed_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(raw_texts(batch.column(3)))
+            own = [np.unique(bw.shingle_hashes(*bw.word_hashes(*bw.joined([t])), words)[0]).view(np.int64) for t in texts]
+            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["component", "rep", "own", "shingles"])
+
+    return run
+
+
+def _block_links(percent: int):
+    """Rows (component, bi, bj, rep, own, shingles): pairs of different ``own`` whose hashed sets are alike, as many as span them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped_stream(batches, ["component", "bi", "bj"]):
-            rep = np.concatenate([p.column(3).to_numpy() for p in parts])
-            if len(rep) < 2:
+            rep, own = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (3, 4))
+            if len(rep) < 2 or (own == own[0]).all():
                 continue
-            order = np.argsort(rep)
-            texts = [t for p in parts for t in raw_texts(p.column(4))]
-            root = exact([texts[i] for i in order])
-            rep = rep[order]
-            far = np.flatnonzero(root != np.arange(len(rep)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[root[far]])], ["a", "b"])
+            sets = [np.asarray(x, np.int64) for p in parts for x in p.column(5).to_numpy(zero_copy_only=False)]
+            size = np.array([len(x) for x in sets])
+            codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            ids = np.split(flat, np.cumsum(size)[:-1])
+            flag = np.zeros(len(codes), np.int64)
+            group = own.copy()
+            us, vs = [], []
+            for i in np.argsort(rep):
+                near = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+                flag[ids[i]] = 1
+                for j in near.tolist():
+                    both = int(flag[ids[j]].sum()) if group[j] != group[i] else 0
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        us.append(int(rep[i]))
+                        vs.append(int(rep[j]))
+                        group[group == group[j]] = group[i]
+                flag[ids[i]] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _missed(texts: DataFrame, groups: DataFrame, links: DataFrame, words: int, percent: int, block: int) -> DataFrame | None:
+    """groups: (node, component) of candidate pairs; links: confirmed ones. Further pairs whose hashed sets are alike; None if every group is one component."""
+    own = connected_components(links, "own").withColumnRenamed("component", "own")
+    placed = groups.join(own, "node", "left").select("component", F.col("node").alias("rep"), F.coalesce("own", "node").alias("own"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("component", "own").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("component").agg(F.count("*").alias("k"), F.max_by("own", F.struct("n", "own")).alias("main")).where("k > 1")
+    members = materialize(placed.join(open_.select("component", "main"), "component"), "open")
+    if members.isEmpty():
+        return None
+    fetched = texts.join(members, F.col("doc_id") == F.col("rep")).select("component", "rep", F.struct("own", "main").alias("own"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    fetched = fetched.mapInArrow(_hashed_sets(words), "component long, rep long, own struct<own: long, main: long>, shingles array<long>")
+    sets = materialize(fetched.select("component", "rep", "own.own", "own.main", "shingles"), "sets")
+    # a shingle that one member alone holds is in no intersection; merged on the map side, so a passage that all share is no hot key
+    alone = sets.select("component", "rep", F.explode("shingles").alias("x")).groupBy("component", "x").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count("*").alias("n"))
+    alone = alone.where("n = 1 and rep = other").groupBy("component", "rep").agg(F.count("*").alias("alone"))
+    able = sets.join(alone, ["component", "rep"], "left").where(100 * (F.size("shingles") - F.coalesce("alone", F.lit(0))) >= percent * F.size("shingles"))
+    able = materialize(able.drop("alone"), "able")
+    sizes = able.groupBy("component").agg(F.count("*").alias("n"), F.sum((F.col("own") != F.col("main")).cast("int")).alias("loose")).where("loose > 0 and n > 1")
+    wanted = able.join(sizes, "component")
+    wanted = _blocked(wanted, "n", block).select("component", "bi", "bj", "rep", "own", "shingles")
+    return wanted.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "rep").mapInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """docs: (doc_id, text, ...). Returns (doc_id, n_shingles, component_id, class_size, kept), one row per row of docs."""
     spark = docs.sparkSession
@@ -190,17 +264,17 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     prefix = materialize(prefix.select("rep", F.col("h.item").alias("item")), "prefix")
     lists = prefix.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     met = prefix.join(lists, "item").join(reps, "rep")
-    buckets = _blocked(met, "item", "n", block).select("item", "bi", "bj", "rep", "sig")
+    buckets = _blocked(met, "n", block).select("item", "bi", "bj", "rep", "sig")
     likely = buckets.repartition("item", "bi", "bj").sortWithinPartitions("item", "bi", "bj", "rep").mapInArrow(_bucket_links(coordinates, matches), "a long, b long")
-    groups = connected_components(likely, "likely")
-    groups = materialize(groups, "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    inside = materialize(groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", "n"), "inside")
-    wanted = texts.join(inside.where("n > 1"), F.col("doc_id") == F.col("rep")).select("rep", "component", "n", "text")
-    wanted = _blocked(wanted, "component", "n", block).select("component", "bi", "bj", "rep", F.col("text").cast("binary").alias("text"))
-    links = wanted.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_group_links(words, percent), "a long, b long")
+    likely = materialize(likely.distinct(), "likely")
+    groups = materialize(connected_components(likely, "groups"), "groups")
     with settings(spark, BLOOM):
-        final = connected_components(links, "links").withColumnRenamed("node", "rep")
+        links = materialize(_confirmed(texts, likely, words, percent, block), "links")
+        missed = _missed(texts, groups, links, words, percent, SET_BLOCK)
+        if missed is not None:
+            missed = materialize(missed.distinct(), "missed")
+            links = materialize(links.union(_confirmed(texts, missed, words, percent, block)), "links")
+    final = connected_components(links, "final").withColumnRenamed("node", "rep")
     of = materialize(classes.join(final, "rep", "left").select("c1", "c2", "class_size", F.coalesce("component", "rep").alias("component_id")), "of")
     placed = signed.drop("sig").join(of, ["c1", "c2"], "left")
     component = F.coalesce("component_id", "doc_id")
