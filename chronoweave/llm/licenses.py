@@ -4,7 +4,8 @@ A text is reduced to its words (lower-case; ASCII other than letters and digits
 Phrases are found there as they are. A notice that may differ by ``k`` edits is split into ``k + 1`` pieces: by the
 pigeonhole principle, one of them stands unedited in every match, so an exact search for the pieces finds all
 candidates. Around a candidate, the regex library matches the whole notice with at most ``k`` edits and gives the span
-and the number of edits.
+and the number of edits. Edits are of bytes of UTF-8 (an ASCII character is one); of overlapping matches of one notice the
+leftmost candidate's best one counts, and the search goes on behind it.
 
 Null, empty and wordless texts have no places and score 0. Repeated rows give repeated results; other columns are
 ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +78,9 @@ class Scanner:
             for spot in sorted(spots):
                 if spot + edits < done:
                     continue
-                lo = max(0, spot - edits - 1)
+                lo = max(0, spot - edits - 1, done)
                 got = pattern.search(text, lo, min(len(text), spot + len(notice) + edits + 1))
-                if got and got.start() >= done:
+                if got:
                     out.append((got.start(), got.end(), label, sum(got.fuzzy_counts), len(notice)))
                     done = got.end()
         return sorted(out)
@@ -91,7 +93,8 @@ class Scanner:
         n, flat = self.words(text)
         base = self.places(flat)
         spans = self.fuzzy(flat)
-        word = lambda at: flat.count(b" ", 0, at + 1) - 1
+        blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) if base or spans else None
+        word = lambda at: int(np.searchsorted(blanks, at, "right")) - 1
         named = [(word(a if flat[a] != 32 else a), word(b - 1) + (flat[b - 1] != 32), label, e, size) for a, b, label, e, size in spans]
         sure = max([0.0, *(1.0 for _ in base), *(1 - e / size for _, _, _, e, size in named)])
         covered = sum(e - b for b, e, *_ in named) + 3 * len(base)
@@ -117,7 +120,11 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: l
     types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(span)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = sys.modules[__name__].__dict__.setdefault("_scanners", {}).setdefault(repr((phrases, notices)), Scanner(phrases, notices))
+        held = sys.modules[__name__].__dict__.setdefault("_scanners", {})
+        use = repr((phrases, notices))
+        if use not in held:
+            held[use] = Scanner(phrases, notices)
+        scanner = held[use]
         for batch in batches:
             rows = [scanner.scan(t) for t in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in types.items())], ["doc_id", *types])
