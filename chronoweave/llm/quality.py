@@ -3,8 +3,9 @@
 Each text is reduced to a few statistics in one pass. From the statistics of labelled rows, sequential covering learns
 an ordered list of rules that describe low quality: a rule grows by the threshold condition with the largest
 information gain until it is pure, is then pruned (conditions are dropped from its end) on rows that growing didn't see, and is
-accepted if it holds there; the rows that it covers leave, and the next rule is grown. Thresholds are quantiles of the
-statistics, so one aggregate over (statistic, bin) gives all candidates of a step at once and no row reaches the driver.
+accepted if it holds there; the rows that it covers leave, and the next rule is grown. At most ``MOST_RULES`` rules of
+``MOST_CONDITIONS`` conditions are learned. Thresholds are exact quantiles of the statistics, these rounded to three significant
+digits so that their counts are few, so verdicts don't depend on the order in which rows arrive; one aggregate over (statistic, bin) gives all candidates of a step at once and no row reaches the driver.
 The list is emitted as one conditional expression, and each rejected row names the rule that applies.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null, empty and wordless texts have all counts 0 and fail the base. Repeated doc_ids
@@ -104,15 +105,35 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(F.col(f"s.{p}").cast("long").alias(c) for c, p in places.items()))
 
 
+def _quantiles(rows: DataFrame) -> list[list[float]]:
+    """Of each statistic its values at QUANTILES, without repeats; at most some 900 rounded values a decade reach the driver."""
+
+    def rounded(s: str) -> Column:
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.col(s))) - 2)
+        return F.when(F.col(s) > 0, F.round(F.col(s) / unit) * unit).otherwise(0.0)
+
+    each = rows.select(F.posexplode(F.array(*map(rounded, STATISTICS))).alias("s", "v")).groupBy("s", "v").agg(F.count("*").alias("n")).collect()
+    out = []
+    for k in range(len(STATISTICS) if each else 0):
+        own = sorted((r["v"], r["n"]) for r in each if r["s"] == k)
+        total, seen, found, wanted = sum(n for _, n in own), 0, [], list(QUANTILES)
+        for v, n in own:
+            seen += n
+            while wanted and seen >= wanted[0] * total:
+                found.append(v)
+                wanted.pop(0)
+        out.append(sorted(set(found)))
+    return out
+
+
 def learn_rules(counts: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """counts: of text_counts; labels: (doc_id, quality, ...). Returns the rules for low quality, in order."""
     marks = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") <= 0).cast("int").alias("low"))
     rows = counts.join(marks, "doc_id").select(F.pmod(crc_of_id(), F.lit(3)).alias("part"), "low", *(F.expr(e).alias(s) for s, e in STATISTICS.items()))
     rows = materialize(rows, "labelled")
-    cuts = rows.agg(*(F.percentile_approx(s, QUANTILES, 10_000).alias(s) for s in STATISTICS)).first()
-    if cuts is None or cuts[0] is None:
+    thresholds = _quantiles(rows)
+    if not thresholds:
         return []
-    thresholds = [sorted(set(cuts[s])) for s in STATISTICS]
 
     def bin_of(s: str, t: list[float]) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, t)), lambda x: x <= F.col(s)))

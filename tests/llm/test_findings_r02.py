@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import chat, decontaminate, packing, pii, ranges, tokens, toxicity
+from chronoweave.llm import chat, decontaminate, licenses, minhash, packing, pii, quality, ranges, tokens, toxicity
 
 
 @pytest.mark.parametrize("times", [[1_700_000_000_000_000 + i for i in range(6)], [-10, -9, -8, -7, -6, -5], [2**62 + i for i in range(6)], [None, -(2**62), 0, 5, 2**42, 2**42 + 1]])
@@ -279,3 +279,135 @@ def test_token_counts_shuffle_nothing(spark):
     out = tokens.op10_token_counts(spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and plan.count("Scan parquet") == 1
+
+
+def _jaccard_components(rows):
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    posts = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            posts[x].append(d)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    shared = collections.Counter(p for ds in posts.values() for p in itertools.combinations(sorted(ds), 2))
+    for (a, b), both in shared.items():
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_chained_near_copies_move_little(spark, monkeypatch):
+    """One candidate group of thousands of chained copies: each text is moved a bounded number of times, and links are those of full sets."""
+    words = [f"w{i}" for i in range(9_000)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 120])) for i in range(1_200)]
+    moved = []
+    real = minhash._confirmed
+
+    def counting(texts, pairs, *rest):
+        fan = collections.Counter(r.b for r in pairs.collect())
+        moved.append((collections.Counter(r.a for r in pairs.collect()), {b: -(-n // rest[2]) for b, n in fan.items()}))
+        return real(texts, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counting)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=256).collect()}
+    assert set(got.values()) == {0}
+    for firsts, hubs in moved:
+        assert max(firsts.values(), default=0) <= 19 and max(hubs.values(), default=0) <= 2 and sum(firsts.values()) <= 19 * len(rows)
+
+
+def test_links_beside_the_spanning_pairs(spark):
+    """Groups whose spanning pairs partly fail: copies with a fifth of their words changed hold families of close copies."""
+    rng = random.Random(3)
+    base = [f"b{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for family in range(40):
+        own = list(base)
+        for k in rng.sample(range(150), 4 + family % 5):
+            own[k] = f"f{family}x{k}"
+        for copy in range(1 + family % 4):
+            w = list(own)
+            for k in rng.sample(range(150), copy % 3):
+                w[k] = f"c{family}x{copy}x{k}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    want = _jaccard_components(rows)
+    assert len(set(want.values())) > 5 and got == want
+
+
+def test_quality_on_held_out_labels(spark):
+    """Rules learned without a third of the labels reject low quality there and leave good texts alone; they don't depend on the order of rows."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    counts = quality.text_counts(docs.join(labels.select("doc_id"), "doc_id", "left_semi"))
+    counts.write.mode("overwrite").parquet("/tmp/cw-test-counts")
+    counts = spark.read.parquet("/tmp/cw-test-counts")
+    rules = quality.learn_rules(counts, labels.where(~held))
+    again = quality.learn_rules(counts.repartition(13, "n_words"), labels.where(~held).repartition(5))
+    assert rules and [list(map(str, r)) for r in rules] == [list(map(str, r)) for r in again]
+    got = quality.decide(counts, rules).join(labels.where(held), "doc_id").select("kept", "base_failed", "quality").collect()
+    low = [r for r in got if r.quality == 0]
+    good = [r for r in got if r.quality == 1 and not r.base_failed]
+    assert sum(not r.kept for r in low) >= 0.8 * len(low) and sum(not r.kept for r in good) <= 0.03 * len(good)
+
+
+def test_first_condition_by_brute_force(spark):
+    """The first condition grown is the one of largest gain among all statistics, thresholds and directions."""
+    rng = random.Random(5)
+    rows = [(i, *(rng.randrange(1, 60) for _ in quality.COUNTS)) for i in range(600)]
+    counts = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    labels = spark.createDataFrame([(r[0], int(r[1] > 20 or rng.random() < 0.05)) for r in rows], "doc_id long, quality int")
+    rules = quality.learn_rules(counts, labels)
+    values = counts.join(labels, "doc_id").select(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)).alias("part"), "quality", *(F.expr(e).alias(s) for s, e in quality.STATISTICS.items()))
+    thresholds = quality._quantiles(values)
+    grow = [r for r in values.collect() if r.part != 2]
+    p0, n0 = sum(r.quality == 0 for r in grow), sum(r.quality > 0 for r in grow)
+    best = (0.0, None)
+    for s, ts in zip(quality.STATISTICS, thresholds, strict=True):
+        for t, above in itertools.product(ts, (True, False)):
+            side = [r for r in grow if (r[s] >= t) == above]
+            p = sum(r.quality == 0 for r in side)
+            if p >= quality.SUPPORT:
+                gain = p * (math.log2(p / len(side)) - math.log2(p0 / (p0 + n0)))
+                if gain > best[0] + 1e-9:
+                    best = (gain, f"{s} {'>=' if above else '<'} {t:.6g}")
+    assert str(rules[0][0]) == best[1]
+
+
+def test_licenses_against_edit_distance():
+    """Every notice within its edits is found, and every span found is within them; matches beside one another are all found."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    scanner = licenses.Scanner()
+    rng = random.Random(14)
+    for _ in range(300):
+        notice, label, edits = rng.choice(licenses.NOTICES)
+        t = list(notice)
+        for _ in range(rng.randrange(edits + 1)):
+            k = rng.randrange(1, len(t) - 1)
+            rng.choice((lambda: t.__setitem__(k, "q"), lambda: t.insert(k, "q"), lambda: t.pop(k) if len(t) > 5 else None))()
+        text = " ".join(["alpha", "beta", "".join(t), "gamma", "".join(t), "delta"])
+        got = [s for s in scanner.scan(text.encode())["spans"] if s["label"] == label]
+        if distance("".join(t), notice) <= edits:
+            assert len(got) >= 2, text
+        words = text.split()
+        for s in got:
+            span = " ".join(words[s["begin_word"] : s["end_word"]])
+            assert any(distance(span, n) <= e for n, lab, e in licenses.NOTICES if lab == label), (text, span)
+    many = " ".join(["all rights reserved"] * 20_000).encode()
+    assert len(scanner.scan(many)["spans"]) == 20_000
