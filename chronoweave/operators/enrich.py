@@ -52,13 +52,15 @@ def lifetimes(changes: DataFrame, order: str = "pos") -> DataFrame:
     """
     live = changes.where("kind <> 'load' or memsz > 0")
     process = Window.partitionBy("trace_name", "vpid").orderBy(order)
-    after = process.rowsBetween(1, Window.unboundedFollowing)
+    # what lies after a row, as a running frame of the order turned round: that of an open end is computed anew for each row
+    after = Window.partitionBy("trace_name", "vpid").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     clears = live.withColumn("_cleared", F.min(F.when(F.col("kind") == "clear", F.col(order))).over(after))
     epoch = F.sum((F.col("kind") == "clear").cast("int")).over(process.rowsBetween(Window.unboundedPreceding, 0))
     rows = clears.withColumn("_epoch", epoch).where("kind <> 'clear'")
     base = Window.partitionBy("trace_name", "vpid", "_epoch", "baddr").orderBy(order)
     fresh = (F.col("kind") == "load") & (F.coalesce(F.lag("kind").over(base), F.lit("unload")) == "unload")
-    gone = F.min(F.when(F.col("kind") == "unload", F.col(order))).over(base.rowsBetween(1, Window.unboundedFollowing))
+    later = Window.partitionBy("trace_name", "vpid", "_epoch", "baddr").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.min(F.when(F.col("kind") == "unload", F.col(order))).over(later)
     out = rows.withColumn("_fresh", fresh).withColumn("_gone", gone).where("_fresh")
     return out.select("trace_name", "vpid", F.col("baddr").alias("lo"), (F.col("baddr") + F.col("memsz")).alias("hi"), "path", "is_pic", F.col(order).alias("valid_from"), F.least("_gone", "_cleared").alias("valid_to"))
 

@@ -73,7 +73,7 @@ def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"port_ord": [r["port_ord"] for r in done], "src_seq": [r["src_seq"] for r in done], "tie": range(len(done))})
 
 
-def mux(df: DataFrame, timed: bool = False, shared_identity: bool = False, buckets: int = 256) -> DataFrame:
+def mux(df: DataFrame, timed: bool = False, shared_identity: bool = False) -> DataFrame:
     """df: a message table with (port_ord, src_seq). Returns it with ``pos``, 1 and on in the merged order.
 
     timed: every row has a time, so no port needs a window. shared_identity: ports may share trace name, UUID, stream
@@ -98,5 +98,7 @@ def mux(df: DataFrame, timed: bool = False, shared_identity: bool = False, bucke
         ties = tied.select(*group, "port_ord", "src_seq", "msg_type", *heads).groupBy(*group).applyInPandas(_merge_group, "port_ord int, src_seq long, tie long")
         keyed = keyed.join(ties, ["port_ord", "src_seq"], "left")
         keys.append(F.coalesce("tie", F.lit(0)).asc())
-    out = with_position(keyed, "eff_ts", [*keys, F.col("port_ord").asc(), F.col("src_seq").asc()], buckets=buckets)
-    return out.drop("eff_ts", *_IDENTITY, "tie")
+    out = with_position(keyed, [F.col("eff_ts").asc_nulls_first(), *keys, F.col("port_ord").asc(), F.col("src_seq").asc()])
+    out = out.drop("eff_ts", *_IDENTITY, "tie")
+    out._cw_written = True  # type: ignore[attr-defined]
+    return out

@@ -1,8 +1,9 @@
 """Positions in a global order without one partition for all rows.
 
-Rows are dealt to time buckets of equal width; the rows of each bucket are counted first, and a row's position is the
-count of earlier buckets plus its number inside its own. Only one row for each bucket reaches the driver, at most
-``buckets`` of them. Rows with one and the same time share a bucket, as a window needs them together.
+Rows are dealt out by ranges of the whole key, with bounds that Spark samples from the rows, so a burst, an outlying time or
+many rows of one time make no large range; how many ranges there are follows ``spark.sql.shuffle.partitions``. The sorted
+ranges are written once, with the number of each row in its range; a row's position is that plus the rows of earlier
+ranges. One row for each range reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,50 +11,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import whole
+from .storage import stored
 
-BUCKETS = 256
+#: monotonically_increasing_id() holds the partition above this bit and the row's number in it below.
+_SHIFT = 33
+_AT, _RANGE, _BEFORE, _LAST = "_cw_at", "_cw_range", "_cw_before", "_cw_last"
 
 
-class Buckets:
-    """Time buckets of a table, their row counts and the last time in each. ``time`` may be null (first bucket)."""
+class Ordered:
+    """Rows of a table in an order, written. ``time``: a column whose value in the row before is wanted."""
 
-    def __init__(self, df: DataFrame, time: str, buckets: int = BUCKETS):
+    def __init__(self, df: DataFrame, keys: list[Column], time: str | None = None):
+        spark = df.sparkSession
         self.time = time
-        lo, hi = df.agg(F.min(time), F.max(time)).first()
-        self.lo, self.width = (lo or 0), max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-        rows = df.groupBy(self.bucket().alias("b")).agg(F.count("*").alias("n"), F.max(time).alias("last")).collect()
-        found = {r["b"]: r for r in rows}
-        self.before: list[int] = []
-        self.last: list[int | None] = []
-        total, last = 0, None
-        for b in range(-1, max([*found, 0]) + 1):
-            self.before.append(total)
-            self.last.append(last)
-            if b in found:
-                total += found[b]["n"]
-                last = found[b]["last"] if found[b]["last"] is not None else last
+        dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        rows = stored(dealt.withColumn(_AT, F.monotonically_increasing_id()), "ordered")
+        self.rows = rows.withColumn(_RANGE, F.shiftright(_AT, _SHIFT))
+        last = F.max_by(time, _AT) if time else F.lit(None).cast("long")
+        found = self.rows.groupBy(_RANGE).agg(F.count("*").alias("n"), last.alias("last")).orderBy(_RANGE).collect()
+        starts, total, before = [], 0, None
+        for r in found:
+            starts.append((r[_RANGE], total, before))
+            total, before = total + r["n"], r["last"]
         self.total = total
+        self.starts = spark.createDataFrame(starts, f"{_RANGE} long, {_BEFORE} long, {_LAST} long")
 
-    def bucket(self) -> Column:
-        at = F.col(self.time)
-        return F.when(at.isNull(), -1).otherwise(whole(at - F.lit(self.lo).cast("long"), self.width)).cast("int")
+    def _placed(self) -> DataFrame:
+        return self.rows.join(F.broadcast(self.starts), _RANGE)  # a row for each range
 
-    def _of(self, values: list[int | None]) -> Column:
-        return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), self.bucket() + 2)
+    def with_position(self, to: str = "pos") -> DataFrame:
+        """The rows with 1, 2, ... in their order."""
+        at = F.col(_AT).bitwiseAND(F.lit((1 << _SHIFT) - 1))
+        return self._placed().withColumn(to, at + F.col(_BEFORE) + 1).drop(_AT, _RANGE, _BEFORE, _LAST)
 
-    def window(self, keys: list[Column]):
-        return Window.partitionBy(self.bucket()).orderBy(*keys)
+    def with_previous(self, to: str) -> DataFrame:
+        """The rows with the time of the row before, across ranges."""
+        w = Window.partitionBy(_RANGE).orderBy(_AT)
+        first = F.col(_AT).bitwiseAND(F.lit((1 << _SHIFT) - 1)) == 0
+        before = F.when(first, F.col(_LAST)).otherwise(F.lag(self.time).over(w))
+        return self._placed().withColumn(to, before).drop(_AT, _RANGE, _BEFORE, _LAST)
 
-    def position(self, keys: list[Column]) -> Column:
-        """1, 2, ... in the order of keys, which must begin with the time, nulls first."""
-        return (F.row_number().over(self.window(keys)) + self._of(self.before)).cast("long")
 
-    def previous(self, keys: list[Column]) -> Column:
-        """The time of the row before, across buckets."""
-        return F.coalesce(F.lag(self.time).over(self.window(keys)), self._of(self.last))
-
-
-def with_position(df: DataFrame, time: str, keys: list[Column], to: str = "pos", buckets: int = BUCKETS) -> DataFrame:
-    b = Buckets(df, time, buckets)
-    return df.withColumn(to, b.position([F.col(time).asc_nulls_first(), *keys]))
+def with_position(df: DataFrame, keys: list[Column], to: str = "pos") -> DataFrame:
+    return Ordered(df, keys).with_position(to)

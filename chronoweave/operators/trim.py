@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.times import Bound, parse_bound, resolved
 from ..schema import STREAM, messages
+from .position import Ordered
 from .storage import stored
 
 
@@ -55,10 +57,11 @@ def trim_ns(df: DataFrame, begin: int | None = None, end: int | None = None, sto
     """
     if begin is not None and end is not None and begin > end:
         raise ValueError("the range begins after its end")
+    written = getattr(df, "_cw_written", False)
     df = messages(df)
     if begin is None and end is None:
         return df
-    if store:
+    if store and not written:
         df = stored(df, "trim")
     loss = _is("DE", "DP")
     shift = 0
@@ -94,6 +97,61 @@ def trim_ns(df: DataFrame, begin: int | None = None, end: int | None = None, sto
     return out.unionByName(closing, allowMissingColumns=True)
 
 
+def _key() -> Column:
+    """What a merge of rows that all have a time orders them by, absent identities last."""
+    parts = [F.struct(F.col(c).isNull().alias("absent"), F.col(c).alias("value")).alias(c) for c in STREAM]
+    return F.struct("ts_ns", *parts, "port_ord", "src_seq")
+
+
+def _literal(row, kind: StructType) -> Column:
+    """A row as a struct of literals."""
+    return F.struct(*((_literal(row[f.name], f.dataType) if isinstance(f.dataType, StructType) else F.lit(row[f.name]).cast(f.dataType)).alias(f.name) for f in kind))
+
+
+def trim_timed(df: DataFrame, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """Merges ports in which every row has a time and trims them, as trim_ns does with merged rows; only what is left is sorted.
+
+    Where to begin and to cut are the least keys of rows in range and of rows past the end, from one aggregate; what is alive
+    or open there follows from one more each. No position is needed before the end.
+    """
+    if begin is not None and end is not None and begin > end:
+        raise ValueError("the range begins after its end")
+    df = messages(df).withColumn("_key", _key())
+    loss = _is("DE", "DP")
+    reaches = F.lit(True) if begin is None else (F.col("ts_ns") >= begin) | F.coalesce(loss & (F.col("end_ts_ns") >= begin), F.lit(False))
+    past = F.lit(False) if end is None else F.col("ts_ns") > end
+    at = df.agg(F.min(F.when(reaches, F.struct(F.col("_key").alias("k")))).alias("start"), F.min(F.when(past, F.struct(F.col("_key").alias("k")))).alias("cut"))
+    found, kind = at.first(), df.schema["_key"].dataType
+    start, cut = (found[c] and found[c]["k"] for c in ("start", "cut"))
+    kept, fresh, n_fresh = df, None, 0
+    if begin is not None:
+        skipped = df if start is None else df.where(F.col("_key") < _literal(start, kind))
+        made = _made(_state(skipped, "_key").where("began = 1 and ended = 0"), begin, "PB", "SB")
+        fresh = stored(made.withColumn("pos", F.col("_n").cast("long")).drop("_n"), "fresh")  # a row or two for each stream
+        n_fresh = fresh.count()
+        # the filter on the time alone can reach a scan
+        kept = df.limit(0) if start is None else df.where((F.col("ts_ns") >= F.lit(start["ts_ns"])) & (F.col("_key") >= _literal(start, kind)))
+    if cut is not None:
+        kept = kept.where((F.col("ts_ns") <= F.lit(cut["ts_ns"])) & (F.col("_key") < _literal(cut, kind)))
+    if begin is not None:
+        moved = F.coalesce(loss & (F.col("ts_ns") < begin), F.lit(False))
+        kept = kept.withColumn("disc_count", F.when(~moved, F.col("disc_count"))).withColumn("ts_ns", F.when(moved, F.lit(begin).cast("long")).otherwise(F.col("ts_ns")))
+    if end is not None:
+        crossing = F.coalesce(loss & (F.col("end_ts_ns") > end), F.lit(False))
+        kept = kept.withColumn("disc_count", F.when(~crossing, F.col("disc_count"))).withColumn("end_ts_ns", F.when(crossing, F.lit(end).cast("long")).otherwise(F.col("end_ts_ns")))
+    if start is None and begin is not None:
+        rest, n = kept.drop("_key").withColumn("pos", F.lit(0).cast("long")), 0
+    else:
+        ordered = Ordered(kept, [F.col("_key").asc()])
+        rest, n = ordered.with_position().drop("_key").withColumn("pos", F.col("pos") + F.lit(n_fresh)), ordered.total
+    out = rest if fresh is None else fresh.unionByName(rest, allowMissingColumns=True)
+    if cut is None:
+        return out
+    closing = _made(_state(out, "pos").where("began = 1 and ended = 0"), end, "PE", "SE")
+    closing = closing.withColumn("pos", F.col("_n").cast("long") + F.lit(n_fresh + n)).drop("_n")
+    return out.unionByName(closing, allowMissingColumns=True)
+
+
 def trim(df: DataFrame, begin: str | int | None = None, end: str | int | None = None, zone: str = "UTC") -> DataFrame:
     """Bounds as text (see parse_bound); a time of day takes the date of the first timed message."""
     b, e = parse_bound(begin, zone), parse_bound(end, zone)

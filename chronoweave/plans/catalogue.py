@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import clock, fields, times
 from ..operators import enrich, packets, validate
 from ..operators.mux import mux
-from ..operators.position import Buckets
-from ..operators.trim import trim_ns
+from ..operators.position import Ordered
+from ..operators.trim import trim_ns, trim_timed
 from ..schema import messages
 from ..sinks import count, details, pretty
 from ..sources import tables, textlog
@@ -127,7 +127,9 @@ UNION ALL SELECT CAST(cp - 1 + row_number() OVER (ORDER BY stream_id, k) AS BIGI
 
 
 def _trimmed(spark, sf_dir, b, e):
-    return trim_ns(merged_events(spark, sf_dir), b, e).select("pos", "stream_id", "msg_type", "ts_ns", "event_class_name", "packet_ord")
+    """Streams and packets are derived from all events; of the events themselves only those in the range are read."""
+    rows = tables.event_rows(spark, sf_dir, b, e).unionByName(tables.bounds_of(tables.event_rows(spark, sf_dir)), allowMissingColumns=True)
+    return trim_timed(rows, b, e).select("pos", "stream_id", "msg_type", "ts_ns", "event_class_name", "packet_ord")
 
 
 @query(_trim_sql(BEGIN, END))
@@ -181,7 +183,8 @@ def stream_intersection(spark, sf_dir):
 @query(f"WITH {EV} SELECT event_id, ts_ns - lag(ts_ns) OVER (ORDER BY ts_ns, event_id) AS delta_ns FROM ev")
 def event_delta(spark, sf_dir):
     rows = tables.event_rows(spark, sf_dir).select("event_id", "ts_ns")
-    return rows.select("event_id", (F.col("ts_ns") - Buckets(rows, "ts_ns").previous([F.col("ts_ns"), F.col("event_id")])).alias("delta_ns"))
+    out = Ordered(rows, [F.col("ts_ns").asc(), F.col("event_id").asc()], "ts_ns").with_previous("_previous")
+    return out.select("event_id", (F.col("ts_ns") - F.col("_previous")).alias("delta_ns"))
 
 
 @query(f"WITH {EV} SELECT 'events | 0 | ' || stream_id AS port, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY stream_id")
@@ -203,10 +206,10 @@ def ns_to_cycles(spark, sf_dir):
     return ns.select("event_id", clock.ns_to_cycles(F.col("ts_ns"), 1_000_003, 1_000_000_000, 5).cast("long").alias("cycles"))
 
 
-@query(f"WITH {EV}, b AS (SELECT min(ts_ns // 1000000) o FROM ev) SELECT event_id, ts_ns // 1000000 - (o - (o % 134217728)) AS cycles FROM ev, b")
+@query(f"WITH {EV}, b AS (SELECT stream_id, min(ts_ns // 1000000) o FROM ev GROUP BY 1) SELECT event_id, ts_ns // 1000000 - (o - (o % 134217728)) AS cycles FROM ev JOIN b USING (stream_id)")
 def clock_unwrap(spark, sf_dir):
     """Milliseconds as a 27-bit counter, restored to a whole one. Every stream starts from its first value."""
-    rows = tables.event_rows(spark, sf_dir).select(F.lit(0).alias("k"), "event_id", F.pmod(fields.whole(F.col("ts_ns"), 1_000_000), F.lit(2**27)).alias("low"))
+    rows = tables.event_rows(spark, sf_dir).select(F.col("stream_id").alias("k"), "event_id", F.pmod(fields.whole(F.col("ts_ns"), 1_000_000), F.lit(2**27)).alias("low"))
     return clock.unwrap(rows, "low", 27, ["k"], ["event_id"]).select("event_id", F.col("cycles").cast("long").alias("cycles"))
 
 

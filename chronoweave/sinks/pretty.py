@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import clock_text, delta_text
-from ..operators.position import Buckets
+from ..operators.position import Ordered
 from ..schema import LOG_LEVELS
 
 #: What is shown of fields and names if nothing is said.
@@ -79,9 +79,7 @@ def pretty_lines(df: DataFrame, params: dict | None = None, order: str = "pos")
     """(pos, line) for each event of a merged message table. The delta is to the event printed before."""
     o = options(params)
     events = df.where("msg_type = 'EV'")
-    buckets = Buckets(events, "ts_ns")
-    previous = buckets.previous([F.col(order).asc()])
-    out = events.withColumn("_previous", previous)
+    out = Ordered(events, [F.col(order).asc()], "ts_ns").with_previous("_previous") if o.delta else events.withColumn("_previous", F.lit(None).cast("long"))
     return out.select(order, line(o, F.col("_previous")).alias("line"))
 
 

@@ -146,7 +146,7 @@ def test_mux_random(spark, seed):
             t += rng.choice([0, 0, 1, 2])
             rows.append({"port_ord": p, "src_seq": k, "msg_type": m, "ts_ns": t if known or m == "EV" else None, "trace_name": rng.choice(["a", "b"]) if k == 0 else rows[-1]["trace_name"], "stream_class_id": 0, "stream_id": p})
             k += 1
-    got = [(r["port_ord"], r["src_seq"]) for r in mux(ports(spark, rows), buckets=3).orderBy("pos").collect()]
+    got = [(r["port_ord"], r["src_seq"]) for r in mux(ports(spark, rows)).orderBy("pos").collect()]
     assert got == literal_merge(rows)
     assert mux_module.merge_heads([]) == []
 
