@@ -95,11 +95,7 @@ def _metadata_info(spark: SparkSession, params: dict) -> dict[str, Any]:
 @component("source", "ctf.fs", {"inputs": (list, ..., None), "trace-name": (_TEXT, None, None), "clock-class-offset-s": (_INT, 0, None), "clock-class-offset-ns": (_INT, 0, None), "force-clock-class-origin-unix-epoch": (_FLAG, False, None)})
 def ctf_source(spark: SparkSession, p: dict) -> DataFrame:
     """Reads the directories of a trace."""
-    frames = [reader.read_ctf(spark, path, p["trace-name"], p["clock-class-offset-s"], p["clock-class-offset-ns"]) for path in p["inputs"]]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return reader.read_ctf(spark, list(p["inputs"]), p["trace-name"], p["clock-class-offset-s"], p["clock-class-offset-ns"], p["force-clock-class-origin-unix-epoch"])
 
 
 find("source", "ctf.fs").queries = {
