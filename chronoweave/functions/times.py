@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -82,10 +82,15 @@ def parse_bound(text: str | int | None, zone: str = "UTC") -> Bound | None:
     raise ValueError(f"not a time: {text!r}")
 
 
-def resolved(bound: Bound | None, first_ns: int | None) -> int | None:
-    """The bound in ns from origin; a time of day takes the date (UTC) of the first timed message."""
+def resolved(bound: Bound | None, first_ns: int | None, zone: str = "UTC") -> int | None:
+    """The bound in ns from origin; a time of day takes the date that the first timed message has in the zone."""
     if bound is None or not bound.of_day:
         return bound and bound.ns
     if first_ns is None:
         return None
-    return first_ns // (86_400 * NS) * 86_400 * NS + bound.ns
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    day = (epoch + timedelta(seconds=first_ns // NS)).astimezone(ZoneInfo(zone)).date()
+    seconds, rest = divmod(bound.ns, NS)
+    at = datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone)) + timedelta(seconds=seconds)  # on the clock of the wall
+    since = at.astimezone(timezone.utc) - epoch
+    return (since.days * 86_400 + since.seconds) * NS + rest

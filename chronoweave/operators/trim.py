@@ -153,12 +153,17 @@ def trim_timed(df: DataFrame, begin: int | None = None, end: int | None = None)
 
 
 def trim(df: DataFrame, begin: str | int | None = None, end: str | int | None = None, zone: str = "UTC") -> DataFrame:
-    """Bounds as text (see parse_bound); a time of day takes the date of the first timed message."""
+    """Bounds as text (see parse_bound); a time of day takes the date of the first timed message, both in the zone.
+
+    Events, packets and losses without a time are refused if there is a bound.
+    """
     b, e = parse_bound(begin, zone), parse_bound(end, zone)
+    if (b is not None or e is not None) and not untrimmable(df).isEmpty():
+        raise ValueError("messages without a time can't be trimmed")
     first = None
     if any(isinstance(x, Bound) and x.of_day for x in (b, e)):
         first = df.where("ts_ns is not null").agg(F.min_by("ts_ns", "pos")).first()[0]
-    return trim_ns(df, resolved(b, first), resolved(e, first))
+    return trim_ns(df, resolved(b, first, zone), resolved(e, first, zone))
 
 
 def untrimmable(df: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Traces whose streams lie in several files and directories, with duplicates, repairs and index files."""
 
+import json
 import shutil
 import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chronoweave.functions import times
+from chronoweave.operators import trim
 from chronoweave.operators.mux import mux
 from chronoweave.operators.validate import sequence_errors
 from chronoweave.schema import messages
@@ -122,3 +126,40 @@ def test_index_files(spark, trace, tmp_path):
         (at / "index" / f"{name}.idx").write_bytes(out if k == 0 else out[:-5])
     assert sorted(map(tuple, (r[1:] for r in packet_index(spark, str(at)).collect()))) == want
     assert shape(read_ctf(spark, str(at))) == shape(read_ctf(spark, str(trace)))
+
+
+def test_contexts_round_trip(spark, tmp_path):
+    """Packet, common and specific contexts come back; two stream classes may use one event class ID with other types."""
+    rows = [
+        (0, 0, "SB", None, None, None, None, None, None), (0, 1, "PB", 10, None, '{"cpu": 3, "host": "a"}', None, None, None),
+        (0, 2, "EV", 11, 0, None, '{"vpid": 7, "ip": 1.5}', '{"deep": true}', '{"n": 1}'), (0, 3, "EV", 12, 0, None, '{"vpid": 8, "ip": 2}', '{"deep": false}', '{"n": 2}'), (0, 4, "PE", 13, None, None, None, None, None), (0, 5, "SE", None, None, None, None, None, None),
+        (1, 0, "SB", None, None, None, None, None, None), (1, 1, "PB", 10, None, None, None, None, None), (1, 2, "EV", 11, 0, None, '{"a": {"b": 1}}', None, '{"s": "x"}'), (1, 3, "PE", 13, None, None, None, None, None), (1, 4, "SE", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(r[0], *r) for r in rows], "port_ord int, stream_class_id long, src_seq long, msg_type string, ts_ns long, event_class_id long, packet_context string, common_context string, specific_context string, payload string")
+    df = df.withColumn("stream_id", F.lit(0).cast("long")).withColumn("event_class_name", F.lit("e"))
+    kinds = {(0, 0): T.StructType([T.StructField("n", T.LongType())]), (1, 0): T.StructType([T.StructField("s", T.StringType())])}
+    write_ctf(messages(df), str(tmp_path / "t"), kinds)
+    back = {(r.stream_class_id, r.src_seq): r for r in read_ctf(spark, str(tmp_path / "t")).collect()}
+    load = lambda x: None if x is None else json.loads(x)
+    for r in rows:
+        got = back[r[0], r[1]]
+        assert got.msg_type == r[2] and got.ts_ns == r[3] and load(got.payload) == load(r[8]) and load(got.specific_context) == load(r[7])
+        assert load(got.packet_context) == load(r[5])
+        common = load(got.common_context)
+        assert (load(common["json"]) if common and "json" in common else common) == load(r[6])
+
+
+def test_refusals(spark, tmp_path):
+    df = messages(spark.createDataFrame([(0, 0, "SB", 1, None), (0, 1, "PB", 1, None), (0, 2, "DP", 2, 3), (0, 3, "PE", 4, None)], "port_ord int, src_seq long, msg_type string, ts_ns long, end_ts_ns long"))
+    with pytest.raises(ValueError):
+        write_ctf(df, str(tmp_path / "x"))
+    write_ctf(df, str(tmp_path / "y"), ignore_discarded_packets=True)
+    with pytest.raises(ValueError):
+        trim.trim(messages(spark.createDataFrame([(0, 0, "EV", None)], "port_ord int, src_seq long, msg_type string, ts_ns long")).withColumn("pos", F.lit(1)), "1.5")
+
+
+@pytest.mark.parametrize(("zone", "hour"), [("UTC", 10), ("America/New_York", 15), ("Asia/Tokyo", 1)])
+def test_time_of_day_in_a_zone(zone, hour):
+    """10:00 of the first message's date, in the zone: it is 2024-01-10 in all three."""
+    noon = 1_704_888_000_000_000_000
+    assert times.resolved(times.parse_bound("10:00:00.5", zone), noon, zone) == 1_704_844_800_000_000_000 + hour * 3_600_000_000_000 + 500_000_000
