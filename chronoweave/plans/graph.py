@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -133,6 +134,8 @@ def trimmer_filter(df: DataFrame, p: dict) -> DataFrame:
 @component("filter", "utils.debug-info", {"debug-info-field-name": (_TEXT, "debug_info", None), "debug-info-dir": (_TEXT, None, None), "target-prefix": (_TEXT, "", None), "full-path": (_FLAG, False, None)})
 def debug_info_filter(df: DataFrame, p: dict) -> DataFrame:
     """Adds which binary, and where in it, an event's address lies in."""
+    if p["debug-info-dir"]:
+        raise GraphError("debug files aren't read: debug-info-dir isn't supported")
     return with_debug_info(df, field=p["debug-info-field-name"], full_path=p["full-path"], target_prefix=p["target-prefix"])
 
 
@@ -153,9 +156,19 @@ _PRETTY = {"color": (_TEXT, "auto", ("never", "auto", "always")), "path": (_TEXT
 _PRETTY |= {"name-default": _NAME, "field-default": _NAME} | {f"name-{k}": (_FLAG, None, None) for k in pretty.NAMES} | {f"field-{k}": (_FLAG, None, None) for k in pretty.FIELDS}
 
 
+def _uncoloured(p: dict) -> None:
+    if p["color"] == "always":
+        raise GraphError("text is written without colours")
+
+
 @component("sink", "text.pretty", _PRETTY)
 def pretty_sink(df: DataFrame, p: dict) -> DataFrame | None:
-    """A line for each event; written as text if there is a path."""
+    """A line for each event, written as text if there is a path; losses are warned of on standard error. Times are UTC."""
+    _uncoloured(p)
+    if p["print-enum-flags"]:
+        raise GraphError("flags of enumerations aren't told apart in a message table: print-enum-flags isn't supported")
+    for r in pretty.loss_warning(df).orderBy("pos").select("warning").toLocalIterator():
+        print(r["warning"], file=sys.stderr)
     lines = pretty.pretty_lines(df, {k: v for k, v in p.items() if v is not None})
     if p["path"]:
         lines.repartitionByRange("pos").sortWithinPartitions("pos").select("line").write.text(p["path"])
@@ -166,7 +179,8 @@ def pretty_sink(df: DataFrame, p: dict) -> DataFrame | None:
 @component("sink", "text.details", {"color": (_TEXT, "auto", ("never", "auto", "always")), "compact": (_FLAG, False, None)} | {k: (_FLAG, True, None) for k in ("with-metadata", "with-data", "with-time", "with-trace-name", "with-stream-class-name", "with-stream-name", "with-uuid")})
 def details_sink(df: DataFrame, p: dict) -> DataFrame:
     """A dump of every message."""
-    return details.details_lines(df, with_time=p["with-time"], with_data=p["with-data"], compact=p["compact"])
+    _uncoloured(p)
+    return details.details_text(df, with_metadata=p["with-metadata"], with_time=p["with-time"], with_data=p["with-data"], compact=p["compact"], trace_names=p["with-trace-name"], uuids=p["with-uuid"], stream_class_names=p["with-stream-class-name"], stream_names=p["with-stream-name"])
 
 
 @component("sink", "ctf.fs", {"path": (_TEXT, ..., None)} | {k: (_FLAG, False, None) for k in ("assume-single-trace", "ignore-discarded-events", "ignore-discarded-packets", "quiet")})

@@ -37,7 +37,7 @@ def details_lines(df: DataFrame, order: str = "pos", with_time: bool = True, wit
     df = messages(df)
     numbers = trace_numbers(df, order)
     same = df["trace_uuid"].eqNullSafe(numbers["trace_uuid"]) & df["trace_name"].eqNullSafe(numbers["trace_name"])
-    rows = df.join(F.broadcast(numbers), same, "left").drop(numbers["trace_uuid"]).drop(numbers["trace_name"])
+    rows = df.join(numbers, same, "left").drop(numbers["trace_uuid"]).drop(numbers["trace_name"])
     tag = F.when(F.col("msg_type") == "MI", F.lit("")).otherwise(F.concat(F.lit("{"), F.concat_ws(" ", F.col("trace_no").cast("string"), F.col("stream_class_id").cast("string"), F.col("stream_id").cast("string")), F.lit("} ")))
     span = F.when(F.col("msg_type").isin("DE", "DP"), F.concat(F.lit(" - "), _time(F.col("end_ts_ns"), F.col("end_ts_ns").cast("decimal(20,0)"), compact))).otherwise(F.lit(""))
     time = F.concat(_time(F.col("ts_ns"), F.col("cycles"), compact), span, F.lit(" ")) if with_time else F.lit("")
@@ -51,17 +51,40 @@ def details_lines(df: DataFrame, order: str = "pos", with_time: bool = True, wit
     return rows.select(order, F.concat(time, tag, body, data).alias("line"))
 
 
-def metadata_blocks(df: DataFrame, order: str = "pos") -> DataFrame:
-    """(trace_no, block): of each trace its streams and event classes in ID order, as printed before its first message."""
+def metadata_blocks(df: DataFrame, order: str = "pos", trace_names: bool = True, uuids: bool = True, stream_class_names: bool = True, stream_names: bool = True) -> DataFrame:
+    """(trace_no, first, block): of each trace its streams and event classes in ID order, as printed before its first message."""
     df = messages(df)
     numbers = trace_numbers(df, order)
-    streams = df.where("msg_type <> 'MI'").groupBy("trace_uuid", "trace_name").agg(F.sort_array(F.collect_set(F.struct("stream_class_id", "stream_id"))).alias("streams"), F.sort_array(F.collect_set(F.when(F.col("msg_type") == "EV", F.struct("stream_class_id", "event_class_id", "event_class_name")))).alias("classes"))
-    both = streams.join(F.broadcast(numbers), streams["trace_uuid"].eqNullSafe(numbers["trace_uuid"]) & streams["trace_name"].eqNullSafe(numbers["trace_name"])).drop(numbers["trace_uuid"]).drop(numbers["trace_name"])
-    line = lambda *x: F.concat(*(F.coalesce(c.cast("string"), F.lit("?")) if isinstance(c, Column) else F.lit(c) for c in x))
-    block = F.concat_ws(
-        "\n",
-        line("Trace ", F.col("trace_no"), ": `", F.coalesce("trace_name", F.lit("(no name)")), "`"),
-        F.array_join(F.transform("streams", lambda s: line("  Stream ", s["stream_id"], " (class ", s["stream_class_id"], ")")), "\n"),
-        F.array_join(F.transform("classes", lambda c: line("  Event class `", c["event_class_name"], "` (stream class ", c["stream_class_id"], ", ID ", c["event_class_id"], ")")), "\n"),
-    )
-    return both.select("trace_no", block.alias("block"))
+    traces = ["trace_uuid", "trace_name"]
+    rows = df.where("msg_type <> 'MI'")
+    # each stream, stream class and event class once before they are gathered into their trace
+    streams = rows.groupBy(*traces, "stream_class_id", "stream_id").agg(F.max("stream_name").alias("name"))
+    classes = rows.groupBy(*traces, "stream_class_id").agg(F.max("stream_class_name").alias("name"))
+    events = rows.where("msg_type = 'EV'").groupBy(*traces, "stream_class_id", "event_class_id").agg(F.max("event_class_name").alias("name"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    quoted = lambda shown: F.when(F.col("name").isNotNull(), F.concat(F.lit(" `"), F.col("name"), F.lit("`"))).otherwise(F.lit("")) if shown else F.lit("")
+    lines = streams.select(*traces, F.lit(1).alias("k"), "stream_class_id", F.col("stream_id").alias("id"), F.concat(F.lit("  Stream"), quoted(stream_names), F.lit(" "), text(F.col("stream_id")), F.lit(" (class "), text(F.col("stream_class_id")), F.lit(")")).alias("line"))
+    if stream_class_names:
+        lines = lines.unionByName(classes.where("name is not null").select(*traces, F.lit(0).alias("k"), "stream_class_id", F.lit(None).cast("long").alias("id"), F.concat(F.lit("  Stream class"), quoted(True), F.lit(" "), text(F.col("stream_class_id"))).alias("line")))
+    lines = lines.unionByName(events.select(*traces, F.lit(2).alias("k"), "stream_class_id", F.col("event_class_id").alias("id"), F.concat(F.lit("  Event class `"), F.coalesce("name", F.lit("?")), F.lit("` (stream class "), text(F.col("stream_class_id")), F.lit(", ID "), text(F.col("event_class_id")), F.lit(")")).alias("line")))
+    of = lines.groupBy(*traces).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "stream_class_id", "id", "line"))), lambda x: x["line"]).alias("lines"))
+    first = rows.groupBy(*traces).agg(F.min(order).alias("first"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("trace_uuid", "_u").withColumnRenamed("trace_name", "_n")
+        return left.join(right, F.col("trace_uuid").eqNullSafe(F.col("_u")) & F.col("trace_name").eqNullSafe(F.col("_n"))).drop("_u", "_n")
+
+    both = beside(beside(of, numbers), first)
+    head = F.concat(F.lit("Trace "), F.col("trace_no").cast("string"), F.lit(": `"), F.coalesce("trace_name", F.lit("(no name)")), F.lit("`")) if trace_names else F.concat(F.lit("Trace "), F.col("trace_no").cast("string"))
+    head = F.concat(head, F.when(F.col("trace_uuid").isNotNull(), F.concat(F.lit(", UUID "), F.col("trace_uuid"))).otherwise(F.lit(""))) if uuids else head
+    return both.select("trace_no", "first", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("block"))
+
+
+def details_text(df: DataFrame, order: str = "pos", with_metadata: bool = True, **shown: bool) -> DataFrame:
+    """details_lines, with each trace's metadata before its first message. shown: with_time, with_data, compact, and the switches of metadata_blocks."""
+    own = {k: shown.pop(k) for k in ("with_time", "with_data", "compact") if k in shown}
+    lines = details_lines(df, order, **own)
+    if not with_metadata:
+        return lines
+    blocks = metadata_blocks(df, order, **shown).select(F.col("first").alias(order), "block")  # one row for each trace
+    return lines.join(blocks, order, "left").select(order, F.concat_ws("\n", "block", "line").alias("line"))

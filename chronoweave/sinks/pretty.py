@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import escaped
 from ..functions.times import clock_text, delta_text
 from ..operators.position import Ordered
 from ..schema import LOG_LEVELS
@@ -41,28 +42,64 @@ def options(params: dict | None = None) -> Options:
     return out
 
 
+#: Levels of objects and arrays that are rendered; what lies deeper is printed as JSON.
+DEPTH = 3
+
+
+def _value(raw: Column, kind: Column, names: bool, depth: int) -> Column:
+    """A member from its text and its variant's type. Absent options are ``<none>``."""
+    text = F.when(raw.rlike(r'[\x00-\x1F\x7F"\\]'), escaped(raw)).otherwise(F.concat(F.lit('"'), raw, F.lit('"')))
+    out = F.when(kind.isNull() | (kind == "VOID"), F.lit("<none>")).when(kind == "STRING", text)
+    if depth:
+        out = out.when(kind.startswith("OBJECT"), _object(raw, names, depth - 1)).when(kind.startswith("ARRAY"), _array(raw, names, depth - 1))
+    return out.otherwise(raw)
+
+
+def _braced(begin: str, parts: Column, end: str) -> Column:
+    return F.when(F.size(parts) == 0, F.lit(f"{begin} {end}")).otherwise(F.concat(F.lit(f"{begin} "), F.array_join(parts, ", "), F.lit(f" {end}")))
+
+
+def _object(js: Column, names: bool, depth: int) -> Column:
+    raw, kinds = F.from_json(js, "map<string,string>"), F.from_json(js, "map<string,variant>")
+    kind_of = F.transform_values(kinds, lambda k, v: F.schema_of_variant(v))
+    member = lambda e, ks: F.concat(e["key"], F.lit(" = "), _value(e["value"], F.element_at(ks, e["key"]), names, depth)) if names else _value(e["value"], F.element_at(ks, e["key"]), names, depth)
+    return _braced("{", F.get(F.transform(F.array(kind_of), lambda ks: F.transform(F.map_entries(raw), lambda e: member(e, ks))), F.lit(0)), "}")
+
+
+def _array(js: Column, names: bool, depth: int) -> Column:
+    kinds = F.transform(F.from_json(js, "array<variant>"), F.schema_of_variant)
+    both = F.arrays_zip(F.from_json(js, "array<string>").alias("raw"), kinds.alias("kind"))
+    return _braced("[", F.transform(both, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] = "), _value(x["raw"], x["kind"], names, depth))), "]")
+
+
 def render_json(js: Column, names: bool = True) -> Column:
-    """A JSON object of scalars as ``{ a = 1, b = "x" }``."""
-    pairs = F.from_json(js, "map<string,string>")
-    item = lambda k, v: F.concat(F.concat(k, F.lit(" = ")) if names else F.lit(""), F.when(v.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), v).otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"'))))
-    body = F.array_join(F.transform(F.map_entries(pairs), lambda e: item(e["key"], e["value"])), ", ")
-    return F.when(js.isNull(), F.lit(None)).when(body == "", F.lit("{ }")).otherwise(F.concat(F.lit("{ "), body, F.lit(" }")))
+    """A JSON object as ``{ a = 1, b = "x", c = { d = 2 }, e = [ [0] = 1, [1] = 2 ] }``; null if there is none."""
+    return F.when(js.isNotNull(), _object(js, names, DEPTH))
 
 
 def level_name(level: Column) -> Column:
     return F.concat(F.lit("TRACE_"), F.get(F.array(*map(F.lit, LOG_LEVELS)), level))
 
 
-def line(o: Options, previous: Column, payload: Column | None = None) -> Column:
-    """The line of an event row; previous: the time of the event before."""
+def line(o: Options, previous: Column, payload: Column | None = None, has_env: bool = False) -> Column:
+    """The line of an event row; previous: the time of the event before; has_env: there is a column trace_env (JSON)."""
     if o.cycles:
         time = F.coalesce(F.lpad(F.col("cycles").cast("string"), 20, "0"), F.lit("?" * 20))
     else:
         time = clock_text(F.col("ts_ns"), date=o.date, seconds=o.seconds)
     head = F.concat(F.lit("["), time, F.lit("] "), *([F.lit("("), delta_text(F.col("ts_ns") - previous), F.lit(") ")] if o.delta else []))
     shown = []
+    # where a trace comes from: host, tracer, program and process, from its environment
+    asked = [k for k in ("hostname", "domain", "procname", "vpid") if o.fields[k]] if has_env else []
+    origin = []
+    for k in asked:
+        value = F.get_json_object(F.col("trace_env"), f"$.{k}")
+        value = F.concat(F.lit("("), value, F.lit(")")) if k == "vpid" else value
+        origin.append(F.concat(F.lit(f"trace:{k} = "), value) if o.names["header"] else value)
     if o.fields["trace"]:
         shown.append(F.when(F.col("trace_name").isNotNull(), F.concat(F.lit("trace = " if o.names["header"] else ""), F.col("trace_name"))))
+    if origin:
+        shown.append(F.nullif(F.concat_ws(", " if o.names["header"] else ":", *origin), F.lit("")))
     if o.fields["loglevel"]:
         shown.append(F.when(F.col("log_level").isNotNull(), F.concat(F.lit("loglevel = " if o.names["header"] else ""), level_name(F.col("log_level")), F.lit(" ("), F.col("log_level").cast("string"), F.lit(")"))))
     if o.fields["emf"]:
@@ -80,7 +117,7 @@ def pretty_lines(df: DataFrame, params: dict | None = None, order: str = "pos")
     o = options(params)
     events = df.where("msg_type = 'EV'")
     out = Ordered(events, [F.col(order).asc()], "ts_ns").with_previous("_previous") if o.delta else events.withColumn("_previous", F.lit(None).cast("long"))
-    return out.select(order, line(o, F.col("_previous")).alias("line"))
+    return out.select(order, line(o, F.col("_previous"), has_env="trace_env" in df.columns).alias("line"))
 
 
 def loss_warning(df: DataFrame) -> DataFrame:

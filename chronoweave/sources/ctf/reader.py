@@ -11,6 +11,7 @@ what stands before it, so losses between two files are found and a stream has on
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -244,7 +245,7 @@ def read_ctf(spark: SparkSession, path: str | list[str], trace_name: str | None
         trace = max((t for _, t in own), key=lambda t: len(t.streams) + sum(len(s.events) for s in t.streams.values()))
         rows, n = _read_trace(spark, trace, [p for p, _ in own], ports, clock_offset_s * NS + clock_offset_ns)
         ports += n
-        rows = messages(rows.withColumn("trace_uuid", F.lit(trace.uuid)).withColumn("trace_name", F.lit(trace_name)))
+        rows = messages(rows.withColumn("trace_uuid", F.lit(trace.uuid)).withColumn("trace_name", F.lit(trace_name)).withColumn("trace_env", F.lit(json.dumps(trace.env, default=str) if trace.env else None).cast("string")))
         out = rows if out is None else out.unionByName(rows)
     return out
 

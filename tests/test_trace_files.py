@@ -12,7 +12,9 @@ from chronoweave.functions import times
 from chronoweave.operators import trim
 from chronoweave.operators.mux import mux
 from chronoweave.operators.validate import sequence_errors
+from chronoweave.plans import graph
 from chronoweave.schema import messages
+from chronoweave.sinks import details, pretty
 from chronoweave.sinks.ctf_writer import write_ctf
 from chronoweave.sources.ctf import decode
 from chronoweave.sources.ctf.reader import load_metadata, packet_index, read_ctf
@@ -163,3 +165,31 @@ def test_time_of_day_in_a_zone(zone, hour):
     """10:00 of the first message's date, in the zone: it is 2024-01-10 in all three."""
     noon = 1_704_888_000_000_000_000
     assert times.resolved(times.parse_bound("10:00:00.5", zone), noon, zone) == 1_704_844_800_000_000_000 + hour * 3_600_000_000_000 + 500_000_000
+
+
+def test_pretty_fields_and_nested_values(spark):
+    rows = [(1, "EV", 1500, "e", '{"z":1,"s":"1","t":"a\\"b\\u0001\\n","n":null,"b":true,"o":{"y":2,"x":{"deep":[1,"q"]}},"l":[],"m":[1,{"k":"v"}]}', '{"hostname":"box","procname":"app","vpid":7,"domain":"ust"}'), (2, "EV", 1600, "f", "{}", None)]
+    df = messages(spark.createDataFrame(rows, "pos long, msg_type string, ts_ns long, event_class_name string, payload string, trace_env string")).withColumn("trace_name", F.lit("t"))
+    text = '{ z = 1, s = "1", t = "a\\"b\\x01\\n", n = <none>, b = true, o = { y = 2, x = { deep = [ [0] = 1, [1] = "q" ] } }, l = [ ], m = [ [0] = 1, [1] = { k = "v" } ] }'
+    got = [r.line for r in pretty.pretty_lines(df, {"no-delta": True}).orderBy("pos").collect()]
+    assert got == [f"[00:00:00.000001500] box:app:(7) e: {text}", "[00:00:00.000001600] f: { }"]
+    named = pretty.pretty_lines(df, {"no-delta": True, "name-default": "show", "field-default": "show"}).orderBy("pos").first().line
+    assert named.startswith("[00:00:00.000001500] trace = t, trace:hostname = box, trace:domain = ust, trace:procname = app, trace:vpid = (7), name = e, event.fields = { z = 1")
+
+
+def test_details_metadata_once(spark):
+    rows = [(1, "a", "SB", 0, 0, None, None), (2, "b", "SB", 0, 0, None, None), (3, "a", "EV", 0, 0, 5, "e"), (4, "b", "EV", 0, 1, 6, "f")]
+    df = messages(spark.createDataFrame(rows, "pos long, trace_name string, msg_type string, stream_class_id long, stream_id long, event_class_id long, event_class_name string")).withColumn("stream_name", F.lit("s"))
+    lines = [r.line.split("\n") for r in details.details_text(df).orderBy("pos").collect()]
+    assert [len(x) for x in lines] == [4, 5, 1, 1]
+    assert lines[0][:3] == ["Trace 0: `a`", "  Stream `s` 0 (class 0)", "  Event class `e` (stream class 0, ID 5)"] and lines[1][0] == "Trace 1: `b`"
+    bare = [r.line for r in details.details_text(df, trace_names=False, stream_names=False).orderBy("pos").collect()]
+    assert bare[0].startswith("Trace 0\n  Stream 0 (class 0)\n") and all("\n" not in r.line for r in details.details_text(df, with_metadata=False).collect())
+
+
+def test_unsupported_parameters_are_refused(spark):
+    df = messages(spark.createDataFrame([(1, "EV", 5)], "pos long, msg_type string, ts_ns long"))
+    for kind, name, params in (("sink", "text.pretty", {"color": "always"}), ("sink", "text.pretty", {"print-enum-flags": True}), ("sink", "text.details", {"color": "always"}), ("filter", "utils.debug-info", {"debug-info-dir": "/x"})):
+        cls = graph.find(kind, name)
+        with pytest.raises(graph.GraphError):
+            cls.run(df, graph.check(params, cls.spec, name))
