@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import crc_of_id, raw_texts, small_batches
+from .common import crc_of_id, materialize, raw_texts, small_batches
 
 SAMPLE, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 0.7, 0.1, 2.2, 300_000
 #: The letters that a character may stand for.
@@ -300,7 +300,8 @@ def learn(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
     drawn = usable.where(order <= F.lit(int(part * 2**53))).orderBy(order, "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_families, "doc_id long, text string, toxic int, family binary")
     rows = rows.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.text", "toxic")
-    counts = rows.select("text", "toxic").mapInArrow(_train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # read twice below, and texts are decoded only once
+    counts = materialize(rows.select("text", "toxic").mapInArrow(_train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
     whole = counts.where("word is null").first()
     nt, nc = (whole["toxic"] or 0, whole["clean"] or 0) if whole else (0, 0)
     if not nt or not nc:
