@@ -175,6 +175,8 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int, blo
     dealt = pairs.join(fan, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     hubs = fan.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     wanted = dealt.select("b", "part", F.lit(1).alias("kind"), "a").union(hubs.select("b", "part", F.lit(0).alias("kind"), F.col("b").alias("a")))
+    # a written table behind a comparison, as Spark makes a Bloom filter of no other
+    wanted = materialize(wanted, "wanted").where("kind >= 0")
     moved = texts.join(wanted, F.col("doc_id") == F.col("a")).select("b", "part", "kind", "a", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return moved.repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(_confirm(words, percent), "a long, b long")
 
@@ -228,7 +230,7 @@ def _missed(texts: DataFrame, groups: DataFrame, links: DataFrame, words: int, p
     placed = materialize(placed, "placed")
     parts = placed.groupBy("component", "own").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("component").agg(F.count("*").alias("k"), F.max_by("own", F.struct("n", "own")).alias("main")).where("k > 1")
-    members = materialize(placed.join(open_.select("component", "main"), "component"), "open")
+    members = materialize(placed.join(open_.select("component", "main", "k"), "component"), "open").where("k > 1")
     if members.isEmpty():
         return None
     fetched = texts.join(members, F.col("doc_id") == F.col("rep")).select("component", "rep", F.struct("own", "main").alias("own"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
