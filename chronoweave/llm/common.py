@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -89,6 +90,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps from one task to the next: the state of one use only. Workers outlive a stage, and the caches of an earlier one would stay beside those of the next."""
+    if _state.get("key") != key:
+        _state.clear()
+        gc.collect()
+        _state["value"], _state["key"] = make(), key
+    return _state["value"]
+
+
 def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 

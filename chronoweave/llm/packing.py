@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, small_batches
+from .common import materialize, raw_texts, small_batches, worker_state
 from .tokens import byte_level, load, states
 
-TIERS, END_ID, BUFFER, GROUP_WINDOWS, CACHE = (256, 512, 1024, 2048), 1, 2_000_000, 16, 500_000
+TIERS, END_ID, BUFFER, GROUP_WINDOWS, CACHE = (256, 512, 1024, 2048), 1, 2_000_000, 16, 250_000
 LEAST, GAP_SHARE, BROADCAST_ROWS = 32, 0.5, 200_000
 #: How a file must cut texts for words between white space to be encoded one by one.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -235,10 +235,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = sys.modules[__name__].__dict__.setdefault("_ids", {})
-        if path not in held:
-            held[path] = Ids(path)
-        ids = held[path]
+        ids = worker_state(("packing", path), lambda: Ids(path))
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << TASK, tiers)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .common import crc_of_id, materialize, raw_texts, small_batches
 
-SAMPLE, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 0.7, 0.1, 2.2, 300_000
+SAMPLE, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 0.7, 0.1, 2.2, 150_000
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKED = {"*": "aeiou"}
@@ -327,13 +327,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     use = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import chronoweave.llm.toxicity as own
+        from .common import worker_state
 
-        held = own.__dict__.setdefault("_scorer", {})
-        if held.get("use") != use:
-            held["use"], held["scorer"] = use, Scorer(*model.value)
+        scorer = worker_state(("toxicity", use), lambda: Scorer(*model.value))
         for batch in batches:
-            scores = [held["scorer"](t) for t in batch.column(1).to_pylist()]
+            scores = [scorer(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
