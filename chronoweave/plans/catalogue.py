@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -529,3 +530,115 @@ def sql_view(spark, sf_dir):
 @query("SELECT event_id, strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(epoch_us(ts) * 1000 % 1000000000 AS VARCHAR), 9, '0') AS t FROM events")
 def time_text(spark, sf_dir):
     return tables.event_rows(spark, sf_dir).select("event_id", times.clock_text(F.col("ts_ns"), date=True).alias("t"))
+
+
+# messages without a time, bounds as text, clocks at their limits
+
+
+@query(
+    f"""WITH {EV}, q AS (SELECT stream_id, event_id * 8 + 4 AS src_seq, CASE WHEN event_id % 7 > 2 THEN ts_ns END AS t FROM ev),
+r AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY src_seq) AS known FROM q)
+SELECT row_number() OVER (ORDER BY known NULLS FIRST, stream_id, src_seq) AS pos, CAST(stream_id AS BIGINT) AS stream_id, CAST(src_seq AS BIGINT) AS src_seq, t AS ts_ns FROM r"""
+)
+def mux_untimed(spark, sf_dir):
+    """Three events in seven have no time: they follow the message before them in their port, or come first of all."""
+    rows = tables.event_rows(spark, sf_dir)
+    timed = F.when(F.col("event_id") % 7 > 2, F.col("ts_ns"))
+    rows = rows.withColumn("ts_ns", timed).select("port_ord", "src_seq", "trace_name", "stream_class_id", "stream_id", "msg_type", "ts_ns")
+    return mux(rows).select("pos", "stream_id", "src_seq", "ts_ns")
+
+
+@query(
+    """WITH d AS (SELECT date_trunc('day', min(ts) - INTERVAL 5 HOUR) + INTERVAL 5 HOUR AS midnight FROM events)
+SELECT event_id FROM events, d WHERE ts BETWEEN midnight + INTERVAL 77400 SECOND + INTERVAL 500 MILLISECOND AND TIMESTAMP '2024-01-05 15:00:00'"""
+)
+def bounds_in_zone(spark, sf_dir):
+    """From a time of day, on the first event's date in New York, to a date and time there; the bounds reach the scan."""
+    zone = "America/New_York"
+    raw = table(spark, sf_dir, "events")
+    first = raw.agg(F.min(tables.ns_of("ts"))).first()[0]
+    begin, end = (times.resolved(times.parse_bound(b, zone), first, zone) for b in ("21:30:00.5", "2024-01-05 10:00"))
+    return tables.between_ns(raw, "ts", begin, end).select("event_id")
+
+
+@query(
+    """SELECT event_id, CASE WHEN ns BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST(ns AS BIGINT) END AS ns, CAST(t - 3600000000000 + 5 AS BIGINT) AS shifted
+FROM (SELECT event_id, epoch_us(ts) * 1000 AS t, (epoch_us(ts) * 1000)::HUGEINT + event_id::HUGEINT * 10000000000000000 AS ns FROM events)"""
+)
+def clock_limits(spark, sf_dir):
+    """Times under a growing clock offset, null from where they don't fit; and times under a shifted offset."""
+    ns = tables.ns_of("ts")
+    return table(spark, sf_dir, "events").select("event_id", clock.cycles_to_ns(ns, offset_s=F.col("event_id") * 10_000_000).alias("ns"), clock.shifted(ns, -3600, 5).alias("shifted"))
+
+
+# fields as text
+
+_OVERLAPPING = [("low", 0, 6), ("mid", 4, 20), ("high", 15, 40), ("odd", 13, 13)]
+
+
+@query(
+    "SELECT event_id, '( ' || CASE len(l) WHEN 0 THEN '<unknown>' WHEN 1 THEN l[1] ELSE '{ ' || array_to_string(l, ', ') || ' }' END || ' : container = ' || v || ' )' AS enumeration FROM (SELECT event_id, v, "
+    + "list_filter([" + ", ".join(f"CASE WHEN v BETWEEN {lo} AND {hi} THEN '\"{n}\"' END" for n, lo, hi in _OVERLAPPING) + "], lambda x: x IS NOT NULL) AS l FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS v FROM events))"
+)
+def enumeration_text(spark, sf_dir):
+    """Values with all their labels, where ranges overlap or none holds the value."""
+    v = F.floor("value").cast("long")
+    return table(spark, sf_dir, "events").select("event_id", fields.enum_text(v, _OVERLAPPING).alias("enumeration"))
+
+
+@query(r"""SELECT event_id, '"' || replace(replace(replace(replace(replace(props || chr(10) || event_type || chr(9) || '\' || chr(1), '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t'), chr(1), '\x01') || '"' AS text FROM events""")
+def string_escapes(spark, sf_dir):
+    text = F.concat("props", F.lit("\n"), "event_type", F.lit("\t\\\x01"))
+    return table(spark, sf_dir, "events").select("event_id", fields.escaped(text).alias("text"))
+
+
+# more of the engine's own
+
+
+@query("SELECT (epoch_us(ts) // 21600000000 - k) * 21600000000 AS window_us, CAST(count(*) AS BIGINT) AS n FROM events, range(4) r(k) GROUP BY ALL")
+def hopping_counts(spark, sf_dir):
+    """Windows of a day that begin every six hours."""
+    counted = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return counted.select(fields.whole(tables.ns_of("w.start"), 1000).alias("window_us"), "n")
+
+
+_ABOVE = """WITH above AS (SELECT o_custkey FROM {o} o WHERE o_totalprice > (SELECT avg(i.o_totalprice) FROM {o} i WHERE i.o_custkey = o.o_custkey))
+SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM above WHERE EXISTS (SELECT 1 FROM {c} c WHERE c.c_custkey = above.o_custkey AND c.c_nationkey < 10) GROUP BY o_custkey"""
+
+
+@query(_ABOVE.format(o="orders", c="customer"))
+def subqueries(spark, sf_dir):
+    """A correlated scalar subquery, one in EXISTS and a common table expression, over views."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("cw_orders")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("cw_customer")
+    return spark.sql(_ABOVE.format(o="cw_orders", c="cw_customer"))
+
+
+@query(
+    "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS rank, lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) AS priority, CAST(length(o_orderpriority) AS INT) AS size, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, strftime(o_orderdate, '%Y-%m') AS month FROM orders"
+)
+def text_and_dates(spark, sf_dir):
+    p, day = F.col("o_orderpriority"), F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.split_part(p, F.lit("-"), F.lit(1)).alias("rank"), F.lower(F.regexp_replace(p, "^[0-9]-", "")).alias("priority"), F.length(p).alias("size"), F.year(day).alias("y"), F.quarter(day).alias("q"), F.date_format(day, "yyyy-MM").alias("month"))
+
+
+@query("SELECT event_id, CAST(b AS INT) AS bit, printf('%08x', user_id) AS hex FROM events, range(63) r(b) WHERE (user_id >> b) & 1 = 1")
+def function_kinds(spark, sf_dir):
+    """A user's table function (the set bits of a number) and a user's vectorised function; both only where built-ins would not show the interface."""
+
+    @F.udtf(returnType="bit int")
+    class SetBits:
+        def eval(self, number: int):
+            at = 0
+            while number:
+                if number & 1:
+                    yield (at,)
+                number, at = number >> 1, at + 1
+
+    @F.pandas_udf("string")
+    def hexed(numbers: pd.Series) -> pd.Series:
+        return numbers.map("{:08x}".format)
+
+    spark.udtf.register("cw_set_bits", SetBits)
+    table(spark, sf_dir, "events").select("event_id", "user_id", hexed("user_id").alias("hex")).createOrReplaceTempView("cw_numbers")
+    return spark.sql("SELECT event_id, bit, hex FROM cw_numbers, LATERAL cw_set_bits(user_id)")
