@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import RANKS, messages
+from ..schema import COLUMNS, RANKS, STREAM, messages
 from .position import with_position
 
 _IDENTITY = ["a_uuid", "a_name", "a_class", "a_stream"]
@@ -79,18 +79,22 @@ def mux(df: DataFrame, timed: bool = False, shared_identity: bool = False) -> Da
     timed: every row has a time, so no port needs a window. shared_identity: ports may share trace name, UUID, stream
     class and stream ID, so their equal times are compared head by head.
     """
+    # columns that df lacks are null in every row: they aren't moved and sorted, but added at the end
+    kept = {"port_ord", "src_seq", "msg_type", "ts_ns", *STREAM, *df.columns}
     df = messages(df)
-    own = F.struct(*(F.col(c).alias(a) for c, a in zip(["trace_uuid", "trace_name", "stream_class_id", "stream_id"], _IDENTITY, strict=True)))
+    df = df.drop(*(c for c in COLUMNS if c not in kept))
+    at, identity = "eff_ts", _IDENTITY
     if timed:
-        keyed = df.withColumn("eff_ts", F.col("ts_ns")).withColumn("_id", own)
+        keyed, at, identity = df, "ts_ns", STREAM
     else:
+        own = F.struct(*(F.col(c).alias(a) for c, a in zip(STREAM, _IDENTITY, strict=True)))
         w = Window.partitionBy("port_ord").orderBy("src_seq").rowsBetween(Window.unboundedPreceding, 0)
         anchor = F.last(F.when(F.col("ts_ns").isNotNull(), own), ignorenulls=True).over(w)
         keyed = df.withColumn("eff_ts", F.last("ts_ns", ignorenulls=True).over(w)).withColumn("_id", F.coalesce(anchor, own))
-    keyed = keyed.select("*", *(F.col(f"_id.{a}").alias(a) for a in _IDENTITY)).drop("_id")
-    keys = [F.col(a).asc_nulls_last() for a in _IDENTITY]
+        keyed = keyed.select("*", *(F.col(f"_id.{a}").alias(a) for a in _IDENTITY)).drop("_id")
+    keys = [F.col(a).asc_nulls_last() for a in identity]
     if shared_identity:
-        group = ["eff_ts", *_IDENTITY]
+        group = [at, *identity]
         several = keyed.groupBy(*group).agg(F.min("port_ord").alias("p"), F.max("port_ord").alias("q")).where("p <> q").drop("p", "q")
         same = [keyed[c].eqNullSafe(several[c]) for c in group]
         tied = keyed.join(several, same, "left_semi")
@@ -98,7 +102,7 @@ def mux(df: DataFrame, timed: bool = False, shared_identity: bool = False) -> Da
         ties = tied.select(*group, "port_ord", "src_seq", "msg_type", *heads).groupBy(*group).applyInPandas(_merge_group, "port_ord int, src_seq long, tie long")
         keyed = keyed.join(ties, ["port_ord", "src_seq"], "left")
         keys.append(F.coalesce("tie", F.lit(0)).asc())
-    out = with_position(keyed, [F.col("eff_ts").asc_nulls_first(), *keys, F.col("port_ord").asc(), F.col("src_seq").asc()])
-    out = out.drop("eff_ts", *_IDENTITY, "tie")
+    out = with_position(keyed, [F.col(at).asc_nulls_first(), *keys, F.col("port_ord").asc(), F.col("src_seq").asc()], sized=df)
+    out = messages(out.drop("eff_ts", *_IDENTITY, "tie"))
     out._cw_written = True  # type: ignore[attr-defined]
     return out
