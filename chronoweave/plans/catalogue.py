@@ -105,7 +105,9 @@ def mux_order(spark, sf_dir):
 SELECT row_number() OVER (ORDER BY ts_ns, trace_name, src_seq) AS pos, trace_name, CAST(src_seq AS BIGINT) AS src_seq FROM a"""
 )
 def mux_ties(spark, sf_dir):
-    return mux(tables.order_rows(spark, sf_dir).unionByName(tables.lineitem_rows(spark, sf_dir)), timed=True).select("pos", "trace_name", "src_seq")
+    rows = tables.order_rows(spark, sf_dir).unionByName(tables.lineitem_rows(spark, sf_dir))
+    rows = rows.select("port_ord", "src_seq", "trace_name", "stream_class_id", "stream_id", "msg_type", "ts_ns")
+    return mux(rows, timed=True).select("pos", "trace_name", "src_seq")
 
 
 # trimming
