@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import BLOOM, grouped_stream, materialize, raw_texts, settings, small_batches
+from .common import BLOOM, grouped_stream, map_arrow, materialize, raw_texts, settings, small_batches
 from .components import connected_components
 
 COORDINATES, MATCHES, WORDS, PERCENT, BLOCK, SET_BLOCK = 40, 22, 5, 85, 2048, 512
+#: Bytes of texts whose words are hashed at once, some 50 bytes for each; a longer text is hashed alone.
+HASHED = 250_000
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -50,7 +52,7 @@ def _signatures(words: int, k: int):
             n = len(texts)
             size, c1, c2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             sig: list[bytes | None] = [None] * n
-            for lo, hi in bw.chunks(texts, 1_000_000):
+            for lo, hi in bw.chunks(texts, HASHED):
                 hashes, at = bw.shingle_hashes(*bw.word_hashes(*bw.joined(texts[lo:hi])), words)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
@@ -178,7 +180,7 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int, blo
     # a written table behind a comparison, as Spark makes a Bloom filter of no other
     wanted = materialize(wanted, "wanted").where("kind >= 0")
     moved = texts.join(wanted, F.col("doc_id") == F.col("a")).select("b", "part", "kind", "a", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return moved.repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(_confirm(words, percent), "a long, b long")
+    return map_arrow(moved.repartition("b", "part").sortWithinPartitions("b", "part", "kind"), _confirm(words, percent), "a long, b long")
 
 
 def _hashed_sets(words: int):
@@ -234,7 +236,7 @@ def _missed(texts: DataFrame, groups: DataFrame, links: DataFrame, words: int, p
     if members.isEmpty():
         return None
     fetched = texts.join(members, F.col("doc_id") == F.col("rep")).select("component", "rep", F.struct("own", "main").alias("own"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    fetched = fetched.mapInArrow(_hashed_sets(words), "component long, rep long, own struct<own: long, main: long>, shingles array<long>")
+    fetched = map_arrow(fetched, _hashed_sets(words), "component long, rep long, own struct<own: long, main: long>, shingles array<long>")
     sets = materialize(fetched.select("component", "rep", "own.own", "own.main", "shingles"), "sets")
     # a shingle that one member alone holds is in no intersection; merged on the map side, so a passage that all share is no hot key
     alone = sets.select("component", "rep", F.explode("shingles").alias("x")).groupBy("component", "x").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count("*").alias("n"))
@@ -244,7 +246,7 @@ def _missed(texts: DataFrame, groups: DataFrame, links: DataFrame, words: int, p
     sizes = able.groupBy("component").agg(F.count("*").alias("n"), F.sum((F.col("own") != F.col("main")).cast("int")).alias("loose")).where("loose > 0 and n > 1")
     wanted = able.join(sizes, "component")
     wanted = _blocked(wanted, "n", block).select("component", "bi", "bj", "rep", "own", "shingles")
-    return wanted.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "rep").mapInArrow(_block_links(percent), "a long, b long")
+    return map_arrow(wanted.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "rep"), _block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -252,12 +254,12 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", "text")
-    signed = materialize(texts.mapInArrow(_signatures(words, coordinates), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "sig")
+    signed = materialize(map_arrow(texts, _signatures(words, coordinates), "doc_id long, n_shingles long, c1 long, c2 long, sig binary"), "sig")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("rep"), "sig"))
     classes = signed.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("f"), F.count("*").alias("class_size"))
     classes = materialize(classes.select("c1", "c2", "class_size", "f.rep", "f.sig"), "class")
     reps = classes.where("rep is not null").select("rep", "sig")
-    posts = reps.mapInArrow(_items(coordinates), "item long, rep long")
+    posts = map_arrow(reps, _items(coordinates), "item long, rep long")
     often = posts.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     # of each document: its items that another document has too, rare ones first; all others come before them
     shared = posts.join(often, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("held")).where(F.size("held") >= matches)
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     lists = prefix.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
     met = prefix.join(lists, "item").join(reps, "rep")
     buckets = _blocked(met, "n", block).select("item", "bi", "bj", "rep", "sig")
-    likely = buckets.repartition("item", "bi", "bj").sortWithinPartitions("item", "bi", "bj", "rep").mapInArrow(_bucket_links(coordinates, matches), "a long, b long")
+    likely = map_arrow(buckets.repartition("item", "bi", "bj").sortWithinPartitions("item", "bi", "bj", "rep"), _bucket_links(coordinates, matches), "a long, b long")
     likely = materialize(likely.distinct(), "likely")
     groups = materialize(connected_components(likely, "groups"), "groups")
     with settings(spark, BLOOM):

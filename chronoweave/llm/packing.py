@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, small_batches, worker_state
+from .common import map_arrow, materialize, raw_texts, small_batches, worker_state
 from .tokens import byte_level, load, states
 
 TIERS, END_ID, BUFFER, GROUP_WINDOWS, CACHE = (256, 512, 1024, 2048), 1, 2_000_000, 16, 250_000
@@ -45,15 +45,20 @@ _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Re
 _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}
 
 
+def by_word_file(path: str) -> bool:
+    return states(path, _NORMALIZER, _PRE_TOKENIZER, "</w>")
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes; word by word under a BPE file whose pre-tokens never hold white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool | None = None):
+        """by_word: whether the file lets words be encoded one by one; read from it if not given."""
         import regex
 
         self.tok = load(path)
         self.model = self.tok.model
-        self.by_word = states(path, _NORMALIZER, _PRE_TOKENIZER, "</w>")
+        self.by_word = by_word_file(path) if by_word is None else by_word
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(_PIECES).findall
         self.known: dict[bytes, bytes] = {}
@@ -231,11 +236,12 @@ def step_groups(pieces: DataFrame, tokens: int) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, buffer: int = BUFFER) -> DataFrame:
     """docs: (doc_id, text, ...). Returns a row for each piece of a document in a sequence."""
     small_batches(docs.sparkSession)
+    by_word = by_word_file(path)  # here, as a worker would keep the memory of the parsed file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = worker_state(("packing", path), lambda: Ids(path))
+        ids = worker_state(("packing", path), lambda: Ids(path, by_word))
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << TASK, tiers)
 
@@ -250,7 +256,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, e
                     yield out(packer.pack(False))
         yield out(packer.pack(True))
 
-    pieces = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS))
+    pieces = map_arrow(docs.select("doc_id", "text"), run, ", ".join(f"{c} long" for c in _COLUMNS), keeps=True)
     return step_groups(materialize(pieces, "pieces"), GROUP_WINDOWS * max(tiers))
 
 

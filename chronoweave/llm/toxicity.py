@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import crc_of_id, materialize, raw_texts, small_batches
+from .common import crc_of_id, map_arrow, materialize, raw_texts, small_batches
 
 SAMPLE, THRESHOLD, PRIOR, SURE, CACHE = 20_000, 0.7, 0.1, 2.2, 150_000
+#: Characters whose trigrams are counted at once, some 50 bytes for each; a longer text is counted alone.
+COUNTED = 500_000
 #: The letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 MASKED = {"*": "aeiou"}
@@ -98,7 +100,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if t:
                 held.append(t)
                 size += len(t)
-                if size > 2_000_000:
+                if size > COUNTED:
                     add()
                     size = 0
         if held:
@@ -286,7 +288,7 @@ class Scorer:
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
-    found = docs.select("text").mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = map_arrow(docs.select("text"), _trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return costs({r["gram"]: r["n"] for r in found.collect()})
 
 
@@ -298,10 +300,10 @@ def learn(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
     order = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
     # exactly bounded by ``sample`` ids, so it may be sent to every executor
     drawn = usable.where(order <= F.lit(int(part * 2**53))).orderBy(order, "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_families, "doc_id long, text string, toxic int, family binary")
+    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), _families, "doc_id long, text string, toxic int, family binary")
     rows = rows.groupBy("family", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.text", "toxic")
     # read twice below, and texts are decoded only once
-    counts = materialize(rows.select("text", "toxic").mapInArrow(_train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
+    counts = materialize(map_arrow(rows.select("text", "toxic"), _train(Decoder(table)), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
     whole = counts.where("word is null").first()
     nt, nc = (whole["toxic"] or 0, whole["clean"] or 0) if whole else (0, 0)
     if not nt or not nc:
@@ -334,7 +336,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
             scores = [scorer(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double", keeps=True)
     return scored.select("doc_id", F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

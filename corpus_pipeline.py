@@ -8,6 +8,7 @@ rows without a doc_id, or with one that other rows have too, are judged by their
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
         docs = materialize(docs, "rows")
     placed = docs.select(*DOCUMENT_COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
+    # from an Arrow table: rows of Python objects would start a second set of Python workers on every executor, which stays beside the operators' own
+    numbers = docs.sparkSession.createDataFrame(pa.table({"_n": pa.array(range(len(files)), pa.int64()), "_file": pa.array(files, pa.string())}))
     return placed.join(F.broadcast(numbers), "_file").select(*DOCUMENT_COLUMNS, (F.shiftleft("_n", 40) + F.col("_at")).alias("row"))
 
 
