@@ -16,14 +16,17 @@ same number of tokens. For that the pieces (not the texts) are written once, and
 No text is shuffled: tasks pack their own documents and number their sequences in a range of their own, so a task that
 is run again gives the same rows. A buffer of about two million ids bounds the memory.
 
-Texts are cut at white space and known words are looked up where the file states the normalizer and pre-tokenizer
-that allow it; with any other file whole texts go through the library.
+Where the file states the normalizer and pre-tokenizer that allow it, a text is put in lower case and cut into pieces as they say, whole
+and in one pass, known pieces are looked up and others go through the library's model; with any other file whole texts go
+through the library. A worker's caches change no id: of pieces in use none is dropped when a cache is full.
 
 Null and empty texts are the end id alone. Repeated rows are packed each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 import sys
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -37,67 +40,98 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, raw_texts, small_batches, worker_state
 from .tokens import byte_level, load, states
 
-TIERS, END_ID, BUFFER, GROUP_WINDOWS, CACHE = (256, 512, 1024, 2048), 1, 2_000_000, 16, 250_000
+TIERS, END_ID, BUFFER, GROUP_WINDOWS = (256, 512, 1024, 2048), 1, 2_000_000, 16
+#: Pieces in each of a worker's two caches, and words in its third.
+CACHE, WORDS = 200_000, 100_000
 LEAST, GAP_SHARE, BROADCAST_ROWS = 32, 0.5, 200_000
-#: How a file must cut texts for words between white space to be encoded one by one.
+#: How a file must cut texts for its pieces to be encoded one by one.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}
+#: The same cut for Latin-1 in lower case, which NFC leaves as it is: letters, numbers, and what ends a run of letters.
+_LETTER, _NUMBER = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+_CUT = re.compile(rb"([^ " + _LETTER + rb"](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<=[" + _NUMBER + rb"])|[^ " + _LETTER + _NUMBER + rb"]*))")
+_LOWER = bytes(32 if chr(c) in "\t\n\v\f\r \x85\xa0" else ord(chr(c).lower()) for c in range(256))
 
 
 def by_word_file(path: str) -> bool:
     return states(path, _NORMALIZER, _PRE_TOKENIZER, "</w>")
 
 
+def _lowered(text: bytes) -> bytes | None:
+    """A text in UTF-8 as Latin-1 in lower case, white space as blanks; None with characters beyond."""
+    try:
+        return (text if text.isascii() else text.decode().encode("latin-1")).translate(_LOWER)
+    except UnicodeEncodeError:
+        return None
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; word by word under a BPE file whose pre-tokens never hold white space."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes; piece by piece under a BPE file whose pre-tokens never hold white space."""
 
     def __init__(self, path: str, by_word: bool | None = None):
-        """by_word: whether the file lets words be encoded one by one; read from it if not given."""
-        import regex
-
+        """by_word: whether the file lets pieces be encoded one by one; read from it if not given."""
         self.tok = load(path)
         self.model = self.tok.model
         self.by_word = by_word_file(path) if by_word is None else by_word
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(_PIECES).findall
-        self.known: dict[bytes, bytes] = {}
-        self.piece: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        #: Ids of pieces in use, and of those that were in use before that; a piece met again comes back into the first.
+        self.recent: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+        #: Ids of words that only the library may cut.
+        self.words: dict[bytes, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def miss(self, word: bytes) -> bytes:
-        text = word.decode()
-        if max(text) >= "\u0100" or any(x in text for x in self.special):
-            ids = self.library(text)
-        else:
-            out = []
-            for p in self.pieces(text.lower()):
-                got = self.piece.get(p)
-                if got is None:
-                    got = np.array([t.id for t in self.model.tokenize(byte_level(p))], "<u4").tobytes()
-                    if len(self.piece) >= CACHE:
-                        self.piece.clear()
-                    self.piece[p] = got
-                out.append(got)
-            ids = b"".join(out)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        if len(word) <= 60:
-            self.known[word] = ids
+    def miss(self, piece: bytes) -> bytes:
+        """Ids of a piece that was not in use; it may have come up earlier in the same text."""
+        ids = self.earlier.get(piece) or self.recent.get(piece)
+        if ids is None:
+            got = [t.id for t in self.model.tokenize(byte_level(piece.decode("latin-1")))]
+            ids = struct.pack(f"<{len(got)}I", *got)
+        if len(self.recent) >= CACHE:
+            self.earlier, self.recent = self.recent, {}
+        if len(piece) <= 60:
+            self.recent[piece] = ids
         return ids
 
+    def plain(self, text: bytes) -> bytes:
+        """Of a text as :func:`_lowered` gives it."""
+        pieces = b" ".join(_CUT.split(text)).split()
+        found = list(map(self.recent.get, pieces))
+        if None in found:
+            found = [self.miss(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
+    def mixed(self, text: bytes) -> bytes:
+        """Words with special strings or characters beyond Latin-1 go through the library, what stands between them as other texts do."""
+        out, between = [], []
+        for word in text.split():
+            ids = self.words.get(word)
+            if ids is None:
+                low = None if any(x in word for x in self.special) else _lowered(word)
+                if low is not None:
+                    between.append(low)
+                    continue
+                ids = self.library(word.decode())
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                if len(word) <= 60:
+                    self.words[word] = ids
+            if between:
+                out.append(self.plain(b" ".join(between)))
+                between = []
+            out.append(ids)
+        return b"".join(out) + self.plain(b" ".join(between))
+
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
             return self.library(text.decode())
-        words = text.split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.miss(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+        low = None if any(x in text for x in self.special) else _lowered(text)
+        return self.mixed(text) if low is None else self.plain(low)
 
 
 class Packer:
